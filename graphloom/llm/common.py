@@ -42,6 +42,16 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+def row_struct(docs: DataFrame) -> F.Column:
+    """All columns of a row as one struct ``row``, to carry along (whatever their names)."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+
+
+def row_schema(docs: DataFrame) -> str:
+    """The type of :func:`row_struct`, as DDL."""
+    return docs.schema.simpleString()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch."""
 

@@ -142,6 +142,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose language is found with a score of ``least`` or more, with all their columns; a null label gets the prediction.
+
+    Rows with a null text or one without letters go.  One narrow stage.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by train()'s entries
+    at, label = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [held.value.predict(t) for t in batch.column(at).to_pylist()]
+        langs = [x if x is not None else f[0] for x, f in zip(batch.column(label).to_pylist(), found)]
+        cols = [pa.array(langs, pa.string()) if i == label else c for i, c in enumerate(batch.columns)]
+        keep = pa.array([f[0] != "und" and f[1] >= least for f in found], pa.bool_())
+        return pa.RecordBatch.from_arrays(cols, batch.schema.names).filter(keep)
+
+    return map_batches(docs, run, docs.schema)
+
+
 def crc_mod3(doc_id: int) -> int:
     """The remainder that decides what is held out, as :func:`held_out` has it (for tests)."""
     return zlib.crc32(str(doc_id).encode()) % 3
