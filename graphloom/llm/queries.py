@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, pieces, pii, simhash, token_count
+from . import decontaminate, langid, neighbours, pieces, pii, simhash, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_piece_codec": op5_piece_codec,
     "op7_pii": op7_pii,
     "op9_decontaminate": op9_decontaminate,
+    "op10_neighbours": op10_neighbours,
 }
 
 #: None of the ten can be put in SQL that stays fast on whole tables; the tests hold them against brute force.
