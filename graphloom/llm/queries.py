@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, neighbours, pieces, pii, simhash, token_count
+from . import decontaminate, fm_index, langid, neighbours, pieces, pii, simhash, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.substring_dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
 def _joined(spans) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_language": op4_language,
     "op5_piece_codec": op5_piece_codec,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op9_decontaminate": op9_decontaminate,
     "op10_neighbours": op10_neighbours,
