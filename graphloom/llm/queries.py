@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fm_index, langid, neighbours, pieces, pii, simhash, suffix_dedup, token_count
+from . import decontaminate, fm_index, kneser_ney, langid, neighbours, pieces, pii, simhash, suffix_dedup, token_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out(docs["doc_id"])))
+    found = kneser_ney.score(docs, model)
+    return found.select("doc_id", kneser_ney.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -69,6 +76,7 @@ QUERIES = {
     "op5_piece_codec": op5_piece_codec,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_decontaminate": op9_decontaminate,
     "op10_neighbours": op10_neighbours,
 }

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import id_and_text
+from .common import id_and_text, stored
 
 
 def shared_windows(left: np.ndarray, right: np.ndarray, doc: np.ndarray, last: np.ndarray, window: int):
@@ -118,14 +118,14 @@ def shared_passages(docs: DataFrame, window: int = anchors.WINDOW, id_col: str =
     """
     given = id_and_text(docs, id_col, text_col)
     profiles = anchors.profile(given, window)
-    # the suffixes of one anchor must meet, so crowded ones are split by more context: see anchors.shared_segments
     segments, _ = anchors.shared_segments(given, profiles, crowded=2**31 - 1)
-    found = segments.mapInArrow(anchors.by_shard(_search(window)), anchors.SPANS)
+    found = stored(segments.mapInArrow(anchors.by_shard(_search(window)), anchors.SPANS), "passages")
     classes = profiles.where(F.col("n_words") >= window).select(F.coalesce("doc_id", F.lit(anchors.LAST)).alias("doc"), "least", "n_words").distinct()
     copies = classes.where("doc > least").select("least").distinct()
-    whole = classes.join(copies, "least").select("doc", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.col("least").alias("first"))
+    # what a group's first document shares with still smaller ones, its copies share as well
+    before = found.groupBy(F.col("doc").alias("least")).agg(F.min("first").alias("before"))
+    whole = classes.join(copies, "least").join(before, "least", "left").select("doc", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.least("least", "before").alias("first"))
     rows = found.union(whole)
-    # what a group's first document shares with others, its copies share as well; they are whole spans already
     by_doc = rows.groupBy("doc").agg(F.collect_set(F.struct("start", "end", "first")).alias("spans"))
     out = by_doc.mapInArrow(_merge, anchors.SPANS)
     null = lambda c: F.when(F.col(c) != anchors.LAST, F.col(c))
