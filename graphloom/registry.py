@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
+FLAGSHIP = "flagship"
+MODULES = ("patterns", "algebra", "analysis", "workspace", "changes")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= import_module(f".plans.{m}", __package__).QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= import_module(f".plans.{m}", __package__).SQL
+    return out
