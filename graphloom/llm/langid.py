@@ -21,7 +21,7 @@ from .common import MemoTable, map_batches
 
 ORDERS = (4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
-MEMO = 400_000
+MEMO = 150_000
 
 
 def held_out(doc_id) -> F.Column:
@@ -35,32 +35,34 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language of words and n-grams."""
+    """Log frequencies by language of words and n-grams: places in one matrix."""
 
     def __init__(self, langs: list[str], words: dict[str, dict[str, int]], by_order: dict[int, dict[str, dict[str, int]]]):
         self.langs = langs
-        self.words = self.logs(words)
-        self.orders = {n: self.logs(by_order.get(n, {})) for n in ORDERS}
+        self.rows = [np.zeros((1, len(langs)), "f4")]
+        self.words = self.placed(words)
+        self.orders = {n: self.placed(by_order.get(n, {})) for n in ORDERS}
+        self.rows = np.concatenate(self.rows)
         self.none = np.zeros(len(langs), "f4").tobytes()
         self.memo: MemoTable | None = None
 
-    def logs(self, counts: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
-        totals = {x: 0 for x in self.langs}
-        for by in counts.values():
-            for x, c in by.items():
-                totals[x] += c
-        size = len(counts) + 1
-        return {k: np.array([math.log((by.get(x, 0) + 0.5) / (totals[x] + 0.5 * size)) for x in self.langs], "f4") for k, by in counts.items()}
+    def placed(self, counts: dict[str, dict[str, int]]) -> dict[str, int]:
+        if not counts:
+            return {}
+        c = np.array([[by.get(x, 0) for x in self.langs] for by in counts.values()], "f8")
+        start = sum(map(len, self.rows))
+        self.rows.append(np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * (len(c) + 1))).astype("f4"))
+        return {k: start + i for i, k in enumerate(counts)}
 
     def word(self, word: str) -> np.ndarray:
         """Log score per language: of the word, or else the mean of its longest known n-grams."""
         if (found := self.words.get(word)) is not None:
-            return found
+            return self.rows[found]
         for n in ORDERS:
             known = [v for g in grams(word, n) if (v := self.orders[n].get(g)) is not None]
             if known:
-                return np.mean(known, axis=0, dtype="f4")
-        return np.zeros(len(self.langs), "f4")
+                return self.rows[known].mean(axis=0, dtype="f4")
+        return self.rows[0]
 
     def chunk(self, chunk: str) -> bytes:
         found = LETTERS.findall(chunk.lower())
@@ -81,7 +83,7 @@ class Model:
         return self.__dict__ | {"memo": None}
 
 
-def train(labelled: DataFrame, train_rows: int = 20_000, entries: int = 200_000) -> Model:
+def train(labelled: DataFrame, train_rows: int = 20_000, entries: int = 50_000) -> Model:
     """A model from ``doc_id, text, lang``: rows without a text or a label are left out.
 
     ``train_rows`` bounds the sample (chosen by a hash of the id, alike at every size) and
@@ -99,7 +101,7 @@ def train(labelled: DataFrame, train_rows: int = 20_000, entries: int = 200_000)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-            if sum(map(len, words.values())) > 1_000_000:
+            if sum(map(len, words.values())) > 200_000:
                 yield from spill(words)
                 words = {}
         yield from spill(words)
