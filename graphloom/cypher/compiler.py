@@ -9,6 +9,7 @@ bound keys and joined left, semi or anti.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -125,8 +126,10 @@ class Compiler:
             props = []
             for p in wanted:
                 col = self.property(t, p)
-                if len(kinds[p]) > 1:
-                    col = col.cast("string")
+                if any(p == x.key for x in tables):
+                    col = col.cast(self.graph.key_type)
+                elif len(kinds[p]) > 1:
+                    col = col.cast("double" if all(isinstance(k, T.NumericType) for k in kinds[p]) else "string")
                 elif kinds[p]:
                     col = col.cast(next(iter(kinds[p])))
                 props.append(col.alias(f"{var}__p_{p}"))
@@ -397,9 +400,9 @@ class Compiler:
                 keys += [F.col(c).alias(n) for c, n in zip(var.columns, new)]
                 out[alias] = Var(var.kind, new, var.tables)
             else:
-                col = self.expr(e, frame).alias(f"{alias}__val")
-                (totals if is_aggregate(e) else keys).append(col)
-                out[alias] = Var("value", [f"{alias}__val"])
+                column = re.sub(r"\W", "_", alias) + f"_{len(out)}__val"
+                (totals if is_aggregate(e) else keys).append(self.expr(e, frame).alias(column))
+                out[alias] = Var("value", [column])
         order, hidden = [], []
         for i, (e, down) in enumerate(clause.order):
             same = next((a for x, a in items if x == e or isinstance(e, P.Name) and e.name == a), None)
@@ -556,7 +559,7 @@ class Compiler:
                 if (column := f"{e.of.name}__p_{e.name}") not in var.columns:
                     raise CypherError(f"{e.of.name}.{e.name} is not at hand here")
                 return F.col(column)
-        keys = {t.key for t in self.graph.nodes}
+        keys = {t.key for t in self.graph.nodes} if isinstance(e.of, P.Name) and e.of.name in env else ()
         return self.expr(e.of, frame, env, flags).getField("key" if e.name in keys else e.name)
 
     def operation(self, e: P.Op, frame: Frame, env: dict, flags: dict) -> Column:
