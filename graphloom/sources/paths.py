@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # Languages by extension, and the default scope of a workspace.
 LANGUAGES = {".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".py": "python"}
+FULL_LANGUAGES = {".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".py": "python", ".go": "go", ".rs": "rust", ".java": "java", ".c": "c", ".cpp": "cpp", ".h": "c", ".hpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php", ".swift": "swift", ".kt": "kotlin", ".scala": "scala"}
 INCLUDE = ("**/*",)
 MAX_BYTES = 2 * 1024 * 1024
 
@@ -58,10 +59,19 @@ def matches(path: Column, patterns, directory: bool = False) -> Column:
     return path.rlike(test) | F.concat(path, F.lit("/")).rlike(test) if directory else path.rlike(test)
 
 
+def full_language(path: Column) -> Column:
+    """Of the full profile: more languages, ``unknown`` for the rest."""
+    return F.coalesce(_by_extension(path, FULL_LANGUAGES), F.lit("unknown"))
+
+
 def language(path: Column) -> Column:
     """By the extension after the last dot, whatever its case; names that only begin with a dot have none."""
+    return _by_extension(path, LANGUAGES)
+
+
+def _by_extension(path: Column, languages: dict[str, str]) -> Column:
     extension = F.lower(F.regexp_extract(base_name(path), r"(?<=.)(\.[^.]+)$", 1))
-    return F.element_at(F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair]), F.when(extension != "", extension))
+    return F.element_at(F.create_map(*[F.lit(x) for pair in languages.items() for x in pair]), F.when(extension != "", extension))
 
 
 def lines(text: Column) -> Column:
