@@ -97,7 +97,7 @@ def method_flow(method: str, nodes: dict[str, dict], children: dict[str, list[st
 
 
 def _by_method(compute: Callable[[str, pd.DataFrame], list[tuple]], columns: list[str]):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(key[0], *x) for x in compute(key[0], rows)], columns=columns)
 
     return run
