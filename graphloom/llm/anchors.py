@@ -8,6 +8,8 @@ an anchor's gram, and lies inside that anchor's segment: the words up to a windo
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 
 import numpy as np
@@ -83,7 +85,7 @@ def merged(spans: list) -> list[list[int]]:
 
 
 #: segments per shard on average, and segments of one anchor above which it is dealt over several shards
-SHARD_SEGMENTS, CROWDED = 8_000, 20_000
+SHARD_SEGMENTS, CROWDED = 4_000, 16_000
 LAST = 2**63 - 1  # stands for a null id: no document is larger
 
 
@@ -123,42 +125,61 @@ def profile(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     return made.join(least, "text_key")
 
 
-def _cut(batches):
-    """The segments' words, from the texts."""
-    for batch in batches:
-        out: list[tuple] = []
-        for doc, text, found in zip(*[c.to_pylist() for c in batch.columns]):
-            words = words_of(text)
-            out += [(x["h"], doc, x["start"], x["pos"] - x["start"], b" ".join(words[x["start"] : x["end"]]), x["n"]) for x in found]
-        cols = list(zip(*out)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["h", "doc", "start", "at", "words", "n"])
+def _cut(half: int):
+    """The segments' words, from the texts: one row for equal segments of a document, with all their places.
 
+    ``sides`` are keys of the ``half`` words from the anchor on and before it: a window around the anchor holds the one or the other.
+    """
+    def run(batches):
+        for batch in batches:
+            for part in sub_batches(batch, 1):
+                out: list[tuple] = []
+                for doc, text, found in zip(*[c.to_pylist() for c in part.columns]):
+                    words = words_of(text)
+                    places: dict[tuple, list[int]] = {}
+                    for x in found:
+                        line = b" ".join(words[x["start"] : x["end"]])
+                        places.setdefault((x["h"], x["pos"] - x["start"], line, x["n"]), []).append(x["start"])
+                    for (h, at, line, n), starts in places.items():
+                        pos, end = starts[0] + at, starts[0] + line.count(b" ") + 1
+                        sides = [xxhash.xxh64_intdigest(b"R" + b" ".join(words[pos : pos + half])) - 2**63] if end - pos >= half else []
+                        sides += [xxhash.xxh64_intdigest(b"L" + b" ".join(words[pos - half : pos])) - 2**63] if at >= half else []
+                        out.append((h, doc, starts, at, line, n, sides))
+                cols = list(zip(*out)) or [()] * 7
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["h", "doc", "starts", "at", "words", "n", "sides"])
 
-def shared_segments(docs: DataFrame, profiles: DataFrame, crowded: int = CROWDED) -> tuple[DataFrame, int]:
-    """``shard, query_only, h, doc, start, at, words`` of the anchors' segments, sorted by shard and doc within partitions.
+    return run
+
+
+def shared_segments(docs: DataFrame, profiles: DataFrame, window: int, split: str, crowded: int = CROWDED) -> DataFrame:
+    """``shard, query_only, h, doc, starts, at, words`` of the anchors' segments, sorted by shard and doc within partitions.
 
     Only one text of each group of equal ones takes part, and only anchors that two texts or more select.
-    An anchor with more than ``crowded`` segments is dealt over several shards, and its
-    segments are asked (``query_only``) in the others too.
+    An anchor that more than ``crowded`` texts select is dealt over several shards: by ``split`` "asked" at random, its
+    segments asked (``query_only``) in the others too; by "sides" by the words at either side of the anchor,
+    one of which every two equal windows have in common.
     """
     spark = docs.sparkSession
     rows = profiles.where((F.coalesce("doc_id", F.lit(LAST)) == F.col("least")) & (F.size("anchors") > 0))
+    selects = rows.select(F.col("least").alias("doc"), F.explode(F.array_distinct(F.col("anchors.h"))).alias("h"))
+    shared = selects.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("n")).where("x < y").select("h", "n")
     anchors = rows.select(F.col("least").alias("doc"), F.explode("anchors").alias("a")).select("doc", "a.*")
-    shared = anchors.groupBy("h").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count("*").alias("n")).where("x < y").select("h", "n")
     wanted = anchors.join(shared, "h").groupBy("doc").agg(F.collect_set(F.struct("h", "pos", "start", "end", "n")).alias("found"))
     texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text").join(wanted, "doc").select("doc", "text", "found")
     path = scratch(spark, "segments")
-    texts.mapInArrow(_cut, "h long, doc long, start int, at int, words binary, n long").write.parquet(path)
+    texts.mapInArrow(_cut(window // 2), "h long, doc long, starts array<int>, at int, words binary, n long, sides array<long>").write.parquet(path)
     found = spark.read.parquet(path)
-    total = found.count()
-    shards = max(1, -(-total // SHARD_SEGMENTS))
-    ways = F.ceil(F.col("n") / crowded).cast("int")
-    home = F.pmod(F.xxhash64("words"), ways).cast("int")
-    dealt = found.select("*", F.explode(F.sequence(F.lit(0), ways - 1)).alias("way"), home.alias("home"))
-    dealt = dealt.select(F.pmod(F.xxhash64("h", "way"), F.lit(shards)).cast("int").alias("shard"), (F.col("way") != F.col("home")).alias("query_only"), "h", "doc", "start", "at", "words")
-    parts = int(min(shards, 20_000))
-    return dealt.repartition(parts, "shard").sortWithinPartitions("shard", "doc"), shards
+    shards = max(1, -(-found.count() // SHARD_SEGMENTS))
+    if split == "asked":
+        ways = F.ceil(F.col("n") / crowded).cast("int")
+        dealt = found.select("*", F.explode(F.sequence(F.lit(0), ways - 1)).alias("way"), F.pmod(F.xxhash64("words"), ways).cast("int").alias("home"))
+        dealt = dealt.select(F.xxhash64("h", "way").alias("to"), (F.col("way") != F.col("home")).alias("query_only"), "h", "doc", "starts", "at", "words")
+    else:
+        dealt = found.select("*", F.explode(F.when(F.col("n") > crowded, F.col("sides")).otherwise(F.array(F.lit(0).cast("long")))).alias("side"))
+        dealt = dealt.select(F.xxhash64("h", "side").alias("to"), F.lit(False).alias("query_only"), "h", "doc", "starts", "at", "words")
+    placed = dealt.select(F.pmod("to", F.lit(shards)).cast("int").alias("shard"), "query_only", "h", "doc", "starts", "at", "words")
+    return placed.repartition(min(shards, 20_000), "shard").sortWithinPartitions("shard", "doc")
 
 
 def by_shard(work):
@@ -180,8 +201,17 @@ def by_shard(work):
                 entries.append(row[1:])
         if entries:
             yield emit(list(work(entries)))
+        entries.clear()
+        give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 SPANS = "doc long, start long, end long, first long"

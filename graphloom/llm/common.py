@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 
 def sub_batches(batch: pa.RecordBatch, text_at: int, chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a bounded amount of text (one row at least)."""
-    sizes = [len(x) if x else 0 for x in batch.column(text_at).to_pylist()]
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
         if total and total + n > chars:

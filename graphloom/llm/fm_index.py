@@ -44,13 +44,13 @@ class FMIndex:
     def __init__(self, text: np.ndarray, depth: int):
         n = self.n = len(text)
         size = int(text.max()) + 1
-        ranks, step = [text.astype(np.int64)], 1
+        ranks, step = [text.astype(np.int32)], 1
         while step < depth + 1:
-            r = ranks[-1]
+            r = ranks[-1].astype(np.int64)
             key = r * (int(r.max()) + 2)
             key[: n - step] += r[step:] + 1
             _, rank = np.unique(key, return_inverse=True)
-            ranks.append(rank)
+            ranks.append(rank.astype(np.int32))
             step *= 2
             if rank.max() == n - 1:
                 break
@@ -63,10 +63,11 @@ class FMIndex:
             bit = (level >> b & 1).astype(bool)
             self.levels.append(Bits(bit))
             level = np.concatenate([level[~bit], level[bit]])
+        del level, bit
         self.shift = np.concatenate([[0], np.cumsum(counts)[:-1]])
         self.shift = self.shift - self._down(np.arange(size), np.zeros(size, np.int64))
         # the common length of each suffix and the one before it in order, from the ranks by length
-        lcp = np.zeros(n + 1, np.int64)
+        lcp = np.zeros(n + 1, np.int32)
         a, b = self.sa[:-1].copy(), self.sa[1:].copy()
         for k in reversed(range(len(ranks))):
             same = (a < n) & (b < n)
@@ -109,16 +110,16 @@ class FMIndex:
 
 
 class LeastOf:
-    """Least value in ranges, by a sparse table."""
+    """Least value in ranges, by a sparse table that grows with the widest range asked for."""
 
     def __init__(self, values: np.ndarray):
         self.rows = [values.astype(np.int32)]
-        while 2 ** len(self.rows) <= len(values):
-            step = 2 ** (len(self.rows) - 1)
-            self.rows.append(np.minimum(self.rows[-1][:-step], self.rows[-1][step:]))
 
     def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         k = np.frexp((hi - lo).astype(np.float64))[1] - 1
+        while len(self.rows) <= k.max():
+            step = 2 ** (len(self.rows) - 1)
+            self.rows.append(np.minimum(self.rows[-1][:-step], self.rows[-1][step:]))
         out = np.empty(len(lo), np.int32)
         for level in np.unique(k):
             at = k == level
@@ -167,38 +168,43 @@ def _search(window: int):
     def work(entries: list[tuple]):
         ids: dict[bytes, int] = {}
         known: dict[tuple, list] = {}
-        asked: list[list] = []
-        for query_only, h, doc, start, _, line in entries:  # in order of doc
+        asked: dict[bytes, list] = {}
+        for query_only, h, doc, starts, _, line in entries:  # in order of doc
             if query_only:
-                asked.append([line, doc, [start]])
+                asked.setdefault(line, []).append((doc, starts))
             elif (found := known.get((h, line))) is None:
-                known[h, line] = [line, doc, [start]]
-            elif found[1] < doc:
-                yield doc, start, start + line.count(b" ") + 1, found[1]
+                known[h, line] = [doc, starts]
+            elif found[0] < doc:
+                n = line.count(b" ") + 1
+                for start in starts:
+                    yield doc, start, start + n, found[0]
             else:
-                found[2].append(start)
-        held = list(known.values())
-        if not held:
+                found[1] = found[1] + starts
+        if not known:
             return
-        parts: list[list[int]] = [[ids.setdefault(w, len(ids) + 1) for w in e[0].split()] for e in held]
-        indexed = np.array([x for p in parts for x in (0, *p)] + [0], np.int64)
-        owner = np.repeat([e[1] for e in held], [len(p) + 1 for p in parts])
-        owner = np.concatenate([owner, owner[-1:]])
+        parts: list[list[int]] = [[ids.setdefault(w, len(ids) + 1) for w in line.split()] for _, line in known]
+        indexed = np.fromiter((x for p in parts for x in (0, *p)), np.int64, sum(map(len, parts)) + len(parts))
+        indexed = np.append(indexed, 0)
+        owner = np.repeat([doc for doc, _ in known.values()], [len(p) + 1 for p in parts])
+        docs, rank = np.unique(np.append(owner, owner[-1]), return_inverse=True)
         index = FMIndex(indexed, max(map(len, parts)) + 1)
-        docs, rank = np.unique(owner, return_inverse=True)
         least = LeastOf(rank[index.sa])
-        queries = held + asked
-        parts += [[ids.get(w, -1) for w in e[0].split()] for e in asked]
+        del indexed, owner, rank
+        index.sa = None
+        owners = [[x] for x in known.values()] + list(asked.values())
+        parts += [[ids.get(w, -1) for w in line.split()] for line in asked]
         lengths = np.array([len(p) for p in parts])
         begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        text = np.array([x for p in parts for x in p], np.int64)
-        need = np.array([2] * len(held) + [1] * len(asked))
+        text = np.fromiter((x for p in parts for x in p), np.int64, int(lengths.sum()))
+        need = np.array([2] * len(known) + [1] * len(asked))
         lane, at, first = matches(index, least, text, begins, lengths, need, window)
-        own = np.array([e[1] for e in queries])
-        smaller = docs[first] < own[lane]
+        most = np.array([of[-1][0] for of in owners])
+        smaller = docs[first] < most[lane]
         for k, a, d in zip(lane[smaller].tolist(), at[smaller].tolist(), docs[first[smaller]].tolist()):
-            for start in queries[k][2]:
-                yield queries[k][1], start + a, start + a + window, d
+            for doc, starts in owners[k]:
+                if d < doc:
+                    for start in starts:
+                        yield doc, start + a, start + a + window, d
 
     def squeezed(entries: list[tuple]):
         """Windows that follow each other in one document as one span."""
@@ -246,7 +252,7 @@ def substring_dedup(docs: DataFrame, window: int = anchors.WINDOW, crowded: int
     """
     given = id_and_text(docs, id_col, text_col)
     profiles = anchors.profile(given, window)
-    segments, _ = anchors.shared_segments(given, profiles, crowded)
+    segments = anchors.shared_segments(given, profiles, window, "asked", crowded)
     spans = segments.mapInArrow(anchors.by_shard(_search(window)), anchors.SPANS)
     by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     changed = given.join(by_doc, F.coalesce("doc_id", F.lit(anchors.LAST)) == by_doc["doc"]).select("doc", "text", "spans")

@@ -35,7 +35,7 @@ def shared_windows(left: np.ndarray, right: np.ndarray, doc: np.ndarray, last: n
             alive, word = alive[word > 0], word[word > 0]
             if len(alive) < 2:
                 return
-            _, new = np.unique(side[alive] * (int(left.max()) + 1) + word, return_inverse=True)
+            _, new = np.unique(side[alive] * (int(left.max()) + 1) + word.astype(np.int64), return_inverse=True)
             side[alive] = new
         if need < 1 or need > right.shape[1]:
             continue
@@ -58,15 +58,15 @@ def shared_windows(left: np.ndarray, right: np.ndarray, doc: np.ndarray, last: n
 def _search(window: int):
     def work(entries: list[tuple]):
         known: dict[tuple, list] = {}
-        for _, h, doc, start, at, line in entries:  # in order of doc
-            known.setdefault((h, at, line), [doc, start, []])[2].append((doc, start))
+        for _, h, doc, starts, at, line in entries:  # in order of doc
+            known.setdefault((h, at, line), []).extend((doc, start) for start in starts)
         ids: dict[bytes, int] = {}
         held = []
-        for (_, at, line), (doc, _, places) in known.items():
+        for (_, at, line), places in known.items():
             words = [ids.setdefault(w, len(ids) + 1) for w in line.split()]
-            held.append((words[:at][::-1], words[at:], doc, places))
-        left = np.zeros((len(held), max(1, max(len(e[0]) for e in held))), np.int64)
-        right = np.zeros((len(held), max(len(e[1]) for e in held)), np.int64)
+            held.append((words[:at][::-1], words[at:], places[0][0], places))
+        left = np.zeros((len(held), max(1, max(len(e[0]) for e in held))), np.int32)
+        right = np.zeros((len(held), max(len(e[1]) for e in held)), np.int32)
         for i, e in enumerate(held):
             left[i, : len(e[0])], right[i, : len(e[1])] = e[0], e[1]
             if e[3][0][0] != e[3][-1][0]:  # equal segments of several documents match as a whole
@@ -103,7 +103,7 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc", "start", "end", "first"])
 
 
-def shared_passages(docs: DataFrame, window: int = anchors.WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_passages(docs: DataFrame, window: int = anchors.WINDOW, crowded: int = anchors.CROWDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start_word, end_word, first_doc_id``: the maximal passages of each document, in words
     (between ASCII white space; end exclusive), all of whose words lie in windows of ``window`` words that
     another document has as well.
@@ -114,11 +114,12 @@ def shared_passages(docs: DataFrame, window: int = anchors.WINDOW, id_col: str =
     shorter texts; equal rows with one id are one document; rows without an id take part after all others and have
     a null id; an empty table gives no rows; other columns are not read.
 
-    Each anchor's suffixes meet in one shard, of which only the distinct ones are sorted.
+    Each anchor's suffixes meet in one shard, of which only the distinct ones are sorted; those of an anchor that
+    more than ``crowded`` texts have meet by the words on one side of it.
     """
     given = id_and_text(docs, id_col, text_col)
     profiles = anchors.profile(given, window)
-    segments, _ = anchors.shared_segments(given, profiles, crowded=2**31 - 1)
+    segments = anchors.shared_segments(given, profiles, window, "sides", crowded)
     found = stored(segments.mapInArrow(anchors.by_shard(_search(window)), anchors.SPANS), "passages")
     classes = profiles.where(F.col("n_words") >= window).select(F.coalesce("doc_id", F.lit(anchors.LAST)).alias("doc"), "least", "n_words").distinct()
     copies = classes.where("doc > least").select("least").distinct()
