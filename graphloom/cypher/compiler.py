@@ -270,7 +270,7 @@ class Compiler:
             alone = here.var not in loose and set(frame.vars) == {here.var} and there.var not in frame.vars
             pairs = self.reach(starts, edges, rel.high, keep=not alone)
             if low == 0:
-                pairs = pairs.union(pairs.sparkSession.createDataFrame([], pairs.schema) if alone else starts.select("s_key", "s_label", F.col("s_key").alias("far"), F.col("s_label").alias("far_label"))).distinct()
+                pairs = pairs.union(starts.select(*([] if alone else ["s_key", "s_label"]), F.col("s_key").alias("far"), F.col("s_label").alias("far_label"))).distinct()
         else:
             alone, pairs = False, self.trails(starts, edges, low, rel.high)
         labels = [t.label for t in far]

@@ -43,14 +43,13 @@ def method_flow(method: str, nodes: dict[str, dict], children: dict[str, list[st
 
     def step(i: str, sources: list[tuple[str, str]]) -> list[tuple[str, str]]:
         label, below = nodes[i]["label"], children.get(i, [])
-        if label == "METHOD_PARAMETER_IN":
+        if label == "METHOD_PARAMETER_IN" or not sources:  # nothing leads to what follows a return
             return sources
         if label == "BLOCK":
             return follow(below, sources)
         if label == "RETURN":
             link(sources, i)
-            if sources:
-                out.append((i, end, "FALL_THROUGH"))
+            out.append((i, end, "FALL_THROUGH"))
             return []
         if label == "CONTROL_STRUCTURE":
             return control(i, below, sources)

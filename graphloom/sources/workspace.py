@@ -1,7 +1,7 @@
 """Workspace scan: files and directories with counts, contents with hashes, and the configuration of a scope.
 
 Listing is a driver-side walk that prunes excluded folders before descending; contents are read by the
-executors with the ``binaryFile`` source, so a scan of many files is distributed.
+executors, so a scan of many files is distributed.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import re
 import stat as st
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,13 +91,25 @@ def walk(root: str, scope: Scope = Scope()) -> Walk:
 
 
 def load(spark: SparkSession, root: str, found: Walk) -> DataFrame:
-    """``path, name, parent, language, content_hash, loc, text`` of the files of a walk."""
-    uri = "file:" + os.path.abspath(root)
-    kept = spark.createDataFrame([(p,) for p, _ in found.files], "path string")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
-    rel = F.expr(f"substring(path, {len(uri) + 2})")
+    """``path, name, parent, language, content_hash, loc, text`` of the files of a walk, read by the executors.
+
+    ``root`` is a folder or URI that the executors reach.  (Spark's own file sources leave out names
+    that begin with an underscore or a dot, which source trees are full of.)
+    """
+    base = root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
+
+    def read(batches):
+        fs, top = pyarrow.fs.FileSystem.from_uri(base)
+        for batch in batches:
+            data = []
+            for p in batch["path"]:
+                with fs.open_input_stream(f"{top}/{p}") as f:
+                    data.append(f.read())
+            yield pd.DataFrame({"path": batch["path"], "content": data})
+
+    listed = spark.createDataFrame([(p,) for p, _ in found.files], "path string")
+    rows = listed.repartition(max(1, min(1000, len(found.files) // 100))).mapInPandas(read, "path string, content binary")
     path, text = F.col("path"), F.col("content").cast("string")
-    rows = raw.select(rel.alias("path"), "content").join(kept, "path", "left_semi")
     return rows.select("path", P.base_name(path).alias("name"), P.parent(path).alias("parent"), F.coalesce(P.language(path), F.lit("none")).alias("language"), F.sha2("content", 256).alias("content_hash"), P.lines(text).alias("loc"), text.alias("text"))
 
 
