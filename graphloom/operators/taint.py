@@ -77,6 +77,14 @@ def propagate(tagged: DataFrame, edges: DataFrame, hops: int = 20) -> DataFrame:
     return reduce(DataFrame.unionByName, found).groupBy("source", "sink", "class").agg(F.min_by("path", F.struct(F.size("path"), "path")).alias("path"))
 
 
+def slice_from_sinks(tagged: DataFrame, edges: DataFrame, hops: int = 20) -> DataFrame:
+    """``node``: what leads to a sink within ``hops``, the sinks included."""
+    from .traverse import reachable, reverse
+
+    sinks = tagged.where(has_role("sink")).select(F.col("id").alias("node"))
+    return reachable(sinks, reverse(edges.select("src", "dst")), hops).unionByName(sinks).distinct()
+
+
 def findings(flows: DataFrame, nodes: DataFrame) -> DataFrame:
     """One nested record for each flow: class, summaries of both ends, ordered steps (``nodes``: ``id, code, line, method``)."""
     steps = flows.select("source", "sink", "class", F.posexplode("path").alias("ord", "id")).join(nodes, "id", "left")

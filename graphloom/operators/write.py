@@ -202,6 +202,15 @@ def write_filesystem(nodes: DataFrame, edges: DataFrame, files: DataFrame | None
     return nodes, merge_edges(nodes, edges, rows)
 
 
+def ensure_root(nodes: DataFrame, edges: DataFrame, root: str, folders: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The root directory, if it is not there, and links from it to those watched folders that are."""
+    spark = nodes.sparkSession
+    made = spark.createDataFrame([("DIRECTORY", root, None, {"name": root, "path": root, "status": "ready"})], NODE)
+    nodes = nodes.unionByName(made.join(nodes.select("label", "key"), ["label", "key"], "left_anti").select(nodes.columns))
+    links = spark.createDataFrame([("HAS_ENTRY", "DIRECTORY", root, "DIRECTORY", f, {}, 0) for f in folders if f != root], EDGE + ", seq int")
+    return nodes, merge_edges(nodes, edges, links)
+
+
 # The full (positional) profile
 
 

@@ -155,6 +155,30 @@ def _(spark, sf_dir):
     return _flows(spark, sf_dir).select("source", "sink", "class", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+@query("tq3_backward_slice", "WITH RECURSIVE u AS (SELECT s_suppkey AS id, s_nationkey AS n FROM supplier WHERE s_suppkey <= 200), e AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y USING (n) WHERE y.id = x.id + 25 OR (x.id % 3 = 0 AND y.id < x.id) OR (x.id % 5 = 0 AND y.id > x.id)), t(x) AS (SELECT id FROM u WHERE id % 10 IN (2, 8) UNION SELECT e.a FROM t JOIN e ON e.b = t.x) SELECT x AS node FROM t")
+def _(spark, sf_dir):
+    return T.slice_from_sinks(T.tag(_units(spark, sf_dir)), code(spark, sf_dir).edges[0].df.toDF("src", "dst"), hops=200)
+
+
+@query("jn17_enclosing_scope", "SELECT 'o' || o_orderkey AS id, 'n' || c_nationkey AS scope FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer")
+def _(spark, sf_dir):
+    from ..sources.syntax import enclosing
+
+    none = F.lit(None).cast("string")
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("c"), "o_custkey").alias("parent"), F.lit("CALL").alias("label"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("parent"), F.lit("BLOCK").alias("label"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), none.alias("parent"), F.lit("METHOD").alias("label"))
+    return enclosing(o.unionByName(c).unionByName(n), "METHOD")
+
+
+@query("ex6_syntax_tree", "SELECT label, sum(n)::BIGINT AS n FROM (SELECT count(*) AS c FROM part), LATERAL (VALUES ('METHOD', 3 * c), ('METHOD_PARAMETER_IN', 4 * c), ('TYPE_DECL', c), ('BLOCK', 3 * c), ('LOCAL', 2 * c), ('RETURN', 2 * c), ('LITERAL', 2 * c), ('IDENTIFIER', 4 * c)) t(label, n) GROUP BY 1")
+def _(spark, sf_dir):
+    from ..sources.syntax import syntax_tree
+    from .workspace import _sources
+
+    return syntax_tree(_sources(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query("tq13_findings")
 def _(spark, sf_dir):
     found = T.findings(_flows(spark, sf_dir), _units(spark, sf_dir).select("id", "code", "line", "method"))

@@ -194,3 +194,28 @@ def test_outputs(spark, tmp_path):
     outputs.graphml(nodes(spark, node("N", "a<b")), edges(spark, ("E", "N", "a<b", "N", "a<b")), f"file://{tmp_path}/g")
     text = "".join(r["value"] for r in spark.read.text(f"file://{tmp_path}/g").collect())
     assert "a&lt;b" in text and "</graph>" in text
+
+
+def test_control_flow_of_real_code(spark):
+    from graphloom.sources import syntax
+
+    text = "def f(a):\n    x = a\n    while x:\n        x = g(x)\n    if x:\n        return 1\n    return x\n"
+    files = spark.createDataFrame([("m.py", "python", text), ("bad.py", "python", "def ("), ("n.ts", "typescript", "x")], "path string, language string, text string")
+    tree = syntax.syntax_tree(files)
+    cfg = flow.control_flow(tree.where("method is not null"))
+    got = {(r["src"].split(":", 1)[1], r["dst"].split(":", 1)[1], r["kind"]) for r in cfg.collect()}
+    assert ("LOCAL:4:8", "CONTROL_STRUCTURE:3:4", "LOOP_BACK") in got and ("IDENTIFIER:3:10", "LOCAL:4:8", "TRUE") in got
+    assert ("RETURN:6:8", "METHOD:1:0:RETURN", "FALL_THROUGH") in got and ("IDENTIFIER:5:7", "RETURN:7:4", "FALSE") in got
+    assert syntax.find_symbol(syntax.symbols(tree), "f").first()["line"] == 1
+    assert syntax.tree_edges(tree).where("type = 'AST'").count() == tree.where("parent is not null").count()
+
+
+def test_root_and_quality(spark):
+    n, e = write.ensure_root(nodes(spark, node("DIRECTORY", "src")), edges(spark), ".", ["src", "gone"])
+    assert {r["key"] for r in n.collect()} == {".", "src"} and [r["to_key"] for r in e.collect()] == ["src"]
+    tree = spark.createDataFrame([("c", "m", "CONTROL_STRUCTURE", "catch (e) {}"), ("b", "c", "BLOCK", ""), ("d", "m", "CONTROL_STRUCTURE", "except E:"), ("k", "d", "CALL", "x()")], "id string, parent string, label string, code string")
+    assert [r["id"] for r in taint.empty_catches(tree).collect()] == ["c"]
+    calls = spark.createDataFrame([(1, "m", "Math.random"), (2, "n", "Math.random")], "id long, method string, name string")
+    assert [r["id"] for r in taint.insecure_randomness(calls, spark.createDataFrame([("m", "authToken")], "method string, name string")).collect()] == [1]
+    writes = spark.createDataFrame([(1, "o[key]"), (2, "o[key]"), (3, "a.__proto__"), (4, "o['k']")], "id long, target string")
+    assert {r["id"] for r in taint.prototype_pollution(writes, spark.createDataFrame([(1,), (4,)], "id long")).collect()} == {1, 3}
