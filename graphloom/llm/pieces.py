@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import MemoTable, id_and_text, map_batches, sub_batches
 
 BLANK = "▁"
-MEMO = 500_000
+MEMO = 200_000
 
 
 def words32(ids: list[int]) -> bytes:
@@ -97,7 +97,7 @@ class PieceCodec:
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the characters of both tokens gives the two (a < 0: of b alone gives b)."""
         parts = [self.piece[i] for i in (a, b) if i >= 0]
-        if len(self.fits) > 400_000:
+        if len(self.fits) > 200_000:
             self.fits.clear()
         found = self.fits[a << 32 | b] = self.merge("".join(parts)) == parts
         return found
