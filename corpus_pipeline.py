@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import common, decontaminate, langid, pieces, pii, simhash
+from graphloom.llm import common, decontaminate, langid, pieces, pii, similar
 
 #: a document's least language score, and the share of benchmark words above which it goes as a whole
 LEAST_SCORE, MOST_COVERED = 0.5, 0.5
+#: words of a shingle, and the share of shingles in common from which documents are near copies
+SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 
 
 def _with_text(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest id; rows without an id go."""
-    found = simhash.near_duplicates(docs)
+    found = similar.near_duplicates(docs, SHINGLE_WORDS, LEAST_SIMILARITY)
     stay = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
 
@@ -55,7 +57,7 @@ STAGES = [
     ("encoded", encoded),
 ]
 
-#: Encoding, fingerprint components and automata are no matter for SQL; the tests hold run() against brute force.
+#: Encoding, near-copy components and automata are no matter for SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
