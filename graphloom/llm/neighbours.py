@@ -3,6 +3,7 @@
 A vector's bucket in a table is ``floor((a.x + b) / w)`` for several Gaussian ``a``.  A query
 visits its own bucket and perturbed ones in the order of their estimated success (least sum of
 squared distances to the walls crossed); the candidates of all tables are ranked by exact distance.
+Queries whose k-th candidate is beyond the bucket width, or that have fewer, are asked of all rows.
 """
 
 from __future__ import annotations
@@ -15,9 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 TABLES, HASHES, PROBES = 6, 6, 160
 #: rows that the bucket width is fitted on, and the width as a multiple of their median distance to the k-th neighbour
 FIT_ROWS, WIDTH = 2_000, 1.3
+#: share of the median distance within which rows of that sample count as copies of one
+COPY = 0.1
+#: queries that are compared with a block of rows at once
+QUERY_BLOCK = 1024
 #: bytes of indexed rows for a shard, and rows of a bucket above which it is dealt over several shards
 SHARD_BYTES, BUCKET_ROWS = 32_000_000, 50_000
 
@@ -81,7 +88,16 @@ def _fit(rows: DataFrame, k: int) -> float:
         return 1.0
     sq = (x**2).sum(1)
     d = np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * x @ x.T, 0))
-    at = min(k, len(x) - 1)
+    # one of each group of near copies, else their distances to each other make buckets too narrow for all other rows
+    near, apart = d <= COPY * np.median(d[np.triu_indices(len(x), 1)]), []
+    free = np.ones(len(x), bool)
+    for i in range(len(x)):
+        if free[i]:
+            apart.append(i)
+            free &= ~near[i]
+    if len(apart) > k:
+        d = d[np.ix_(apart, apart)]
+    at = min(k, len(d) - 1)
     return float(np.median(np.partition(d, at, axis=1)[:, at])) * WIDTH or 1.0
 
 
@@ -127,16 +143,17 @@ def _ranker(k: int):
             at = np.array([i for i in at if len(x[i]) == v.shape[1]])
             if not len(at):
                 continue
-            q = np.stack([x[i] for i in at])
-            near = np.array([sq[i] for i in at])[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T
-            slack = 1e-9 * (1 + np.abs(near))
-            if near.shape[1] > k + 1:
-                bound = np.partition(near, k, axis=1)[:, k]
-                worst[at] = np.minimum(worst[at], bound + 1e-9 * (1 + np.abs(bound)))
-            a, b = np.nonzero(near <= worst[at][:, None] + slack)
-            found_q.append(at[a])
-            found_v.append(vec_ids[b])
-            found_d.append(np.sqrt(((q[a] - v[b]) ** 2).sum(1)))
+            for at in np.split(at, range(QUERY_BLOCK, len(at), QUERY_BLOCK)):
+                q = np.stack([x[i] for i in at])
+                near = np.array([sq[i] for i in at])[:, None] + (v**2).sum(1)[None] - 2 * q @ v.T
+                slack = 1e-9 * (1 + np.abs(near))
+                if near.shape[1] > k + 1:
+                    bound = np.partition(near, k, axis=1)[:, k]
+                    worst[at] = np.minimum(worst[at], bound + 1e-9 * (1 + np.abs(bound)))
+                a, b = np.nonzero(near <= worst[at][:, None] + slack)
+                found_q.append(at[a])
+                found_v.append(vec_ids[b])
+                found_d.append(np.sqrt(((q[a] - v[b]) ** 2).sum(1)))
         if not found_q:
             return None
         q, v, d = (np.concatenate(f) for f in (found_q, found_v, found_d))
@@ -204,6 +221,9 @@ def nearest(vectors: DataFrame, queries, k: int = 10, tables: int = TABLES, hash
     Of equal vectors only the ``k + 1`` smallest ids can be found, so the rest is left out before
     indexing; buckets above :data:`BUCKET_ROWS` rows are dealt over several shards, which the queries
     visit all.  Pairs are ranked inside the shards; only the best of each query leave them.
+
+    A query that has found fewer than ``k`` rows, or whose ``k``-th is farther than a bucket is wide (probes
+    reach such distances badly), is compared with all rows instead, so it gets the nearest there are.
     """
     spark = vectors.sparkSession
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast("array<double>").alias("x")).where("vec_id is not null").where(valid(F.col("x")))
@@ -247,6 +267,36 @@ def nearest(vectors: DataFrame, queries, k: int = 10, tables: int = TABLES, hash
         more = more.groupBy("shard", "id", "x").agg(F.collect_set("key").alias("keys")).select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("key"), "id", "keys", "x")
         asked = asked.union(more)
     met = index_rows.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "key")
-    found = met.mapInArrow(_ranker(k), "query_id long, vec_id long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found):
+        return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    pairs = "query_id long, vec_id long, score double"
+    found = stored(ranked(met.mapInArrow(_ranker(k), pairs)), "neighbours")
+    reach = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("n"), F.max("score").alias("far"))
+    wanted = rows.where(queries).distinct()
+    few = F.col("n").isNull() | (F.col("n") < k) | (F.col("far") > hashing.width)
+    short = wanted.join(reach, wanted["vec_id"] == reach["query_id"], "left").where(few).select("vec_id", "x")
+    short = stored(short, "neighbours-short")
+    if short.isEmpty():
+        return found
+
+    # these queries go to all shards, over which the rows are dealt by id
+    ways = int(max(32, -(-size["n"] * 8 * (size["d"] or 1) // SHARD_BYTES)))
+
+    def plain(kind):
+        def run(batches):
+            for batch in batches:
+                vectors, n = batch.column(1).to_pylist(), batch.num_rows
+                sizes = [len(x) for x in vectors]
+                keys, lists = (sizes, [None] * n) if kind else ([None] * n, [[d] for d in sizes])
+                yield _emit(batch.column(2).to_pylist(), kind, keys, batch.column(0).to_pylist(), lists, [np.array(x, "f8").tobytes() for x in vectors])
+
+        return run
+
+    everyone = indexed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(ways)).cast("int"))
+    asking = short.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
+    met = everyone.mapInArrow(plain(1), KIND).union(asking.mapInArrow(plain(0), KIND)).repartition(ways, "shard").sortWithinPartitions("shard", "kind", "key")
+    exact = ranked(met.mapInArrow(_ranker(k), pairs))
+    return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").select(*found.columns).unionByName(exact)
