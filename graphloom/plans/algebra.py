@@ -197,10 +197,10 @@ def _(spark, sf_dir):
 
 
 def _typed(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id < 100000")
+    d = table(spark, sf_dir, "documents")
     label = F.when(F.col("doc_id") % 3 == 0, "FILE").when(F.col("doc_id") % 3 == 1, "DIRECTORY").otherwise("METHOD")
     line = F.when(F.col("doc_id") % 4 != 0, F.col("doc_id"))
-    old = d.select(F.col("doc_id").alias("key"), label.alias("label"), F.col("source").alias("name"), F.col("n_chars").alias("size"), F.lit(1).alias("modified"), line.alias("line"), F.substring("text", 1, 60).alias("code"))
+    old = d.select(F.col("doc_id").alias("key"), label.alias("label"), F.col("source").alias("name"), F.col("n_chars").alias("size"), F.lit(1).alias("modified"), line.alias("line"), F.col("text").alias("code"))
     new = old.withColumn("size", F.col("size") + (F.col("key") % 2)).withColumn("code", F.concat("code", F.when(F.col("key") % 2 == 0, F.lit("!")).otherwise(F.lit(""))))
     return old, new
 
