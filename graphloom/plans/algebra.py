@@ -294,8 +294,8 @@ def _(spark, sf_dir):
 # traversal
 
 
-def _calls(spark, sf_dir) -> DataFrame:
-    return code(spark, sf_dir).edges[0].df.toDF("src", "dst")
+def _calls(spark, sf_dir, most: int | None = 200) -> DataFrame:
+    return code(spark, sf_dir, most).edges[0].df.toDF("src", "dst")
 
 
 _E = "WITH RECURSIVE u AS (SELECT s_suppkey AS id, s_nationkey AS n FROM supplier WHERE s_suppkey <= 200), e AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y USING (n) WHERE y.id = x.id + 25 OR (x.id % 3 = 0 AND y.id < x.id) OR (x.id % 5 = 0 AND y.id > x.id))"
@@ -378,7 +378,7 @@ def _(spark, sf_dir):
 
 @query("gt15_communities")
 def _(spark, sf_dir):
-    edges = _calls(spark, sf_dir)
+    edges = _calls(spark, sf_dir, None)
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("name"))
     return V.community_summary(V.communities(edges), edges, names)
 

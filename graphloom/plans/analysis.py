@@ -132,9 +132,10 @@ def _(spark, sf_dir):
     return found.groupBy("id").agg(F.min("definition").alias("definition"))
 
 
-def _units(spark, sf_dir):
-    """The cyclic graph's nodes with names by which the rules tag them."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 200")
+def _units(spark, sf_dir, most: int | None = 200):
+    """The cyclic graph's nodes with names by which the rules tag them (keys up to ``most``, as in the SQL)."""
+    s = table(spark, sf_dir, "supplier")
+    s = s if most is None else s.where(F.col("s_suppkey") <= most)
     i = F.col("s_suppkey")
     name = F.when(i % 10 == 3, "os.environ.get").when(i % 10 == 8, "cursor.execute").when(i % 10 == 5, "html.escape").when(i % 10 == 2, "eval").otherwise("f")
     return s.select(i.alias("id"), F.lit("python").alias("language"), name.alias("name"), F.concat(F.lit("c"), i).alias("code"), i.alias("line"), F.col("s_nationkey").alias("method"))
@@ -146,8 +147,8 @@ def _(spark, sf_dir):
 
 
 def _flows(spark, sf_dir):
-    edges = code(spark, sf_dir).edges[0].df.toDF("src", "dst")
-    return T.propagate(T.tag(_units(spark, sf_dir)), edges, hops=6)
+    edges = code(spark, sf_dir, None).edges[0].df.toDF("src", "dst")
+    return T.propagate(T.tag(_units(spark, sf_dir, None)), edges, hops=6)
 
 
 @query("tq2_taint")
@@ -181,7 +182,7 @@ def _(spark, sf_dir):
 
 @query("tq13_findings")
 def _(spark, sf_dir):
-    found = T.findings(_flows(spark, sf_dir), _units(spark, sf_dir).select("id", "code", "line", "method"))
+    found = T.findings(_flows(spark, sf_dir), _units(spark, sf_dir, None).select("id", "code", "line", "method"))
     return found.select("source", "sink", "class", "source_code", "sink_code", "hops", "method")
 
 

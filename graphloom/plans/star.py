@@ -45,9 +45,13 @@ def star(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges, "long", [("REGION", "id"), ("NATION", "id"), ("CUSTOMER", "id"), ("ORDER", "id")], [("CUSTOMER", "id")])
 
 
-def code(spark: SparkSession, sf_dir: str) -> Graph:
-    """A small cyclic graph of suppliers: each supplies the next by key within its nation, and one step beyond."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 200")
+def code(spark: SparkSession, sf_dir: str, most: int | None = 200) -> Graph:
+    """A cyclic graph of suppliers: each supplies the next by key within its nation, and one step beyond.
+
+    The SQL of the queries on it is bounded to keys up to 200, and so is the default; ``None`` takes all suppliers.
+    """
+    s = table(spark, sf_dir, "supplier")
+    s = s if most is None else s.where(F.col("s_suppkey") <= most)
     nodes = [Nodes("UNIT", s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")), "id")]
     a, b = s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("n")), s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("n"))
     calls = a.join(b, "n").where("b = a + 25 or (a % 3 = 0 and b < a) or (a % 5 = 0 and b > a)").select("a", "b")
