@@ -148,7 +148,7 @@ def _(spark, sf_dir):
 
 def _flows(spark, sf_dir):
     edges = code(spark, sf_dir, None).edges[0].df.toDF("src", "dst")
-    return T.propagate(T.tag(_units(spark, sf_dir, None)), edges, hops=6)
+    return T.propagate(T.tag(_units(spark, sf_dir, None)), edges)
 
 
 @query("tq2_taint")

@@ -73,3 +73,14 @@ def test_taint_beyond_the_first_suppliers(spark, tmp_path):
 
 def test_communities_beyond_the_first_suppliers(spark, tmp_path):
     assert QUERIES["gt15_communities"](spark, suppliers(tmp_path, [301, 326, 351])).count() > 0
+
+
+def test_long_taint_flows(spark, tmp_path):
+    ids = [33, 1, 26, 51, 76, 101, 126, 112, 151, 176, 201, 192]
+    want = flows(ids)
+    assert max(p.count(">") for p in want.values()) > 6
+    sf_dir = suppliers(tmp_path, ids)
+    assert taint(spark, sf_dir) == want
+    steps = {(int(a), int(b), k) for p in want.values() for k, (a, b) in enumerate(zip(p.split(">"), p.split(">")[1:]), 1)}
+    assert {tuple(r) for r in QUERIES["tq14_flow_edges"](spark, sf_dir).select("src", "dst", "hop").collect()} == steps
+    assert {r["hops"] for r in QUERIES["tq13_findings"](spark, sf_dir).collect()} == {p.count(">") for p in want.values()}
