@@ -76,6 +76,21 @@ def sub_batches(batch: pa.RecordBatch, text_at: int, chars: int = 8_000_000) ->
         yield batch.slice(start)
 
 
+def attach(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", n: str = "n") -> DataFrame:
+    """``rows`` joined with ``side`` (stored, one row for each key, with the number ``n`` of its rows), whatever the keys' skew.
+
+    Keys that hold over a 2,000th of all rows (so fewer than 2,000 of them) are broadcast; the rest is joined by shuffle.
+    ``how`` is inner or left.
+    """
+    total, most = side.agg(F.sum(n), F.max(n)).first()
+    many = max(1000, (total or 0) // 2000)
+    if (most or 0) <= many:
+        return rows.join(side, keys, how)
+    hot = F.broadcast(side.where(F.col(n) > many))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.where(F.col(n) <= many), keys, how)
+    return rest.unionByName(rows.join(hot, keys))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path below the shared folder of ``spark.checkpoint.dir``.
 

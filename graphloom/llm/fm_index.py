@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import id_and_text
+from .common import attach, id_and_text, stored
 
 
 class Bits:
@@ -76,8 +76,8 @@ class FMIndex:
             a[same] += 1 << k
             b[same] += 1 << k
         lcp[0] = lcp[n] = -1
-        self.lcp = lcp
-        self.less_before, self.less_after = self._smaller(lcp, -1), self._smaller(lcp, 1)
+        self.lcp = lcp.astype(np.int16) if depth < 2**14 else lcp
+        self.less_before, self.less_after = (self._smaller(lcp, way).astype(np.int32) for way in (-1, 1))
 
     @staticmethod
     def _smaller(lcp: np.ndarray, way: int) -> np.ndarray:
@@ -163,64 +163,29 @@ def matches(index: FMIndex, least: LeastOf, text: np.ndarray, begins: np.ndarray
 
 
 def _search(window: int):
-    """The work on one shard: spans of words that a document with a smaller id has as well."""
+    """The work on one shard: windows that a document with a smaller id has as well."""
 
     def work(entries: list[tuple]):
         ids: dict[bytes, int] = {}
-        known: dict[tuple, list] = {}
-        asked: dict[bytes, list] = {}
-        for query_only, h, doc, starts, _, line in entries:  # in order of doc
-            if query_only:
-                asked.setdefault(line, []).append((doc, starts))
-            elif (found := known.get((h, line))) is None:
-                known[h, line] = [doc, starts]
-            elif found[0] < doc:
-                n = line.count(b" ") + 1
-                for start in starts:
-                    yield doc, start, start + n, found[0]
-            else:
-                found[1] = found[1] + starts
-        if not known:
-            return
-        parts: list[list[int]] = [[ids.setdefault(w, len(ids) + 1) for w in line.split()] for _, line in known]
-        indexed = np.fromiter((x for p in parts for x in (0, *p)), np.int64, sum(map(len, parts)) + len(parts))
-        indexed = np.append(indexed, 0)
-        owner = np.repeat([doc for doc, _ in known.values()], [len(p) + 1 for p in parts])
+        parts = [[ids.setdefault(w, len(ids) + 1) for w in line.split()] for _, _, line, _, _ in entries]
+        indexed = np.fromiter((x for p in parts for x in (0, *p)), np.int32, sum(map(len, parts)) + len(parts))
+        indexed = np.append(indexed, np.int32(0))
+        owner = np.repeat([least for *_, least, _ in entries], [len(p) + 1 for p in parts])
         docs, rank = np.unique(np.append(owner, owner[-1]), return_inverse=True)
         index = FMIndex(indexed, max(map(len, parts)) + 1)
         least = LeastOf(rank[index.sa])
         del indexed, owner, rank
         index.sa = None
-        owners = [[x] for x in known.values()] + list(asked.values())
-        parts += [[ids.get(w, -1) for w in line.split()] for line in asked]
         lengths = np.array([len(p) for p in parts])
         begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        text = np.fromiter((x for p in parts for x in p), np.int64, int(lengths.sum()))
-        need = np.array([2] * len(known) + [1] * len(asked))
-        lane, at, first = matches(index, least, text, begins, lengths, need, window)
-        most = np.array([of[-1][0] for of in owners])
-        smaller = docs[first] < most[lane]
+        text = np.fromiter((x for p in parts for x in p), np.int32, int(lengths.sum()))
+        lane, at, first = matches(index, least, text, begins, lengths, np.full(len(parts), 2), window)
+        own = np.array([least for *_, least, _ in entries])
+        smaller = docs[first] < own[lane]
         for k, a, d in zip(lane[smaller].tolist(), at[smaller].tolist(), docs[first[smaller]].tolist()):
-            for doc, starts in owners[k]:
-                if d < doc:
-                    for start in starts:
-                        yield doc, start + a, start + a + window, d
-
-    def squeezed(entries: list[tuple]):
-        """Windows that follow each other in one document as one span."""
-        rows = sorted(work(entries))
-        held = None
-        for doc, a, b, first in rows:
-            if held and held[0] == doc and a <= held[2]:
-                held[2], held[3] = max(held[2], b), min(held[3], first)
-            else:
-                if held:
-                    yield tuple(held)
-                held = [doc, a, b, first]
-        if held:
-            yield tuple(held)
-
-    return squeezed
+            yield entries[k][0], a, a + window, d
+
+    return work
 
 
 def _keep(batches):
@@ -235,7 +200,7 @@ def _keep(batches):
                 last, gone = b, gone + b - a
             n.append(gone)
             kept.append(b" ".join(left + words[last:]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept], pa.string())], ["doc", "n_removed", "kept_text", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array([hashlib.sha256(k.encode()).hexdigest() for k in kept], pa.string())], ["text_key", "gone", "kept_text", "left_sha"])
 
 
 def substring_dedup(docs: DataFrame, window: int = anchors.WINDOW, crowded: int = anchors.CROWDED, texts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,27 +209,36 @@ def substring_dedup(docs: DataFrame, window: int = anchors.WINDOW, crowded: int
     Removed is each word in a window of ``window`` consecutive words (between ASCII white space)
     whose words also start in a document with a smaller id; windows are judged on the input.
     ``kept_text`` has the other words joined by one space, null where nothing is removed.
-    Null and empty texts have no words; repeated rows with one id keep each other; rows without an id count as
-    larger than any; an empty table gives no rows; other columns are not read.
+    Null and empty texts have no words; rows are told apart by their words, so several texts under one id are judged each by itself
+    and keep each other, as repeated rows do; rows without an id count as
+    larger than any and keep each other; an empty table gives no rows; other columns are not read.
 
-    Of texts with equal words only the one with the smallest id is searched: the others lose all their
+    Of texts with equal words only the one with the smallest id is searched, and of equal segments one: the others lose all their
     words if they have a window.  A search runs inside the shards of the anchors.
     """
     given = id_and_text(docs, id_col, text_col)
-    profiles = anchors.profile(given, window)
-    segments = anchors.shared_segments(given, profiles, window, "asked", crowded)
-    spans = segments.mapInArrow(anchors.by_shard(_search(window)), anchors.SPANS)
-    by_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    changed = given.join(by_doc, F.coalesce("doc_id", F.lit(anchors.LAST)) == by_doc["doc"]).select("doc", "text", "spans")
-    kind = "doc long, n_removed long, kept_text string, kept_sha256 string"
-    kept = changed.mapInArrow(_keep, kind).dropDuplicates(["doc"]).withColumnRenamed("n_removed", "gone").withColumnRenamed("kept_sha256", "left_sha")
-    kept = kept if texts else kept.drop("kept_text")
-    rows = profiles.select("doc_id", "n_words", "sha", "least", F.coalesce("doc_id", F.lit(anchors.LAST)).alias("own"))
-    copy = (F.col("own") > F.col("least")) & (F.col("n_words") >= window)
-    return rows.join(kept, rows["own"] == kept["doc"], "left").select(
-        "doc_id",
-        "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("left_sha", F.lower(F.hex("sha")))).alias("kept_sha256"),
-        *([F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if texts else []),
+    profiles, searched = anchors.profile(given, window)
+    cut = anchors.segments(given, searched, window)
+    found = anchors.matches(cut, _search(window), window, crowded)
+    found = found.groupBy("seg").agg(F.collect_set(F.struct("start", "end", "first")).alias("found"))
+    equal = cut.groupBy("seg").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("len").alias("len"), F.count("*").alias("n"))
+    known = stored(equal.join(found, "seg", "left").where("least < most or found is not null"), "dedup-segments")
+    members = attach(cut.select("seg", "doc", "raw", "text_key", "starts"), known, ["seg"])
+    at = lambda start, a, b: F.struct((start + a).alias("start"), (start + b).alias("end"))
+    whole = F.transform("starts", lambda x: at(x, F.lit(0), F.col("len")))
+    own = F.flatten(F.transform("starts", lambda x: F.transform(F.filter("found", lambda s: s["first"] < F.col("doc")), lambda s: at(x, s["start"], s["end"]))))
+    spans = members.select("doc", "raw", "text_key", F.explode(F.when(F.col("doc") > F.col("least"), whole).otherwise(own)).alias("s"))
+    by_text = spans.groupBy("doc", "raw", "text_key").agg(F.collect_set("s").alias("spans"))
+    rows = given.select(anchors.own_id().alias("doc"), F.xxhash64("text").alias("raw"), "text")
+    changed = rows.join(by_text, ["doc", "raw"]).select("text_key", "text", "spans")
+    kind = "text_key binary, gone long, kept_text string, left_sha string"
+    kept = changed.mapInArrow(_keep, kind).select("text_key", "gone", "left_sha", *["kept_text"] * texts).dropDuplicates(["text_key"])
+    copy, sha = F.col("own") > F.col("least"), F.lower(F.hex("sha"))
+    out = lambda df, gone, left, text: df.select("doc_id", "n_words", gone.cast("long").alias("n_removed"), left.alias("kept_sha256"), *[text.alias("kept_text")] * texts)
+    none = F.lit(None).cast("string")
+    first = profiles.where((F.col("n_words") >= window) & ~copy).join(kept, "text_key", "left")
+    return (
+        out(first, F.coalesce("gone", F.lit(0)), F.coalesce("left_sha", sha), F.col("kept_text") if texts else none)
+        .union(out(profiles.where(copy & (F.col("n_words") >= window)), F.col("n_words"), F.sha2(F.lit(""), 256), F.lit("")))
+        .union(out(profiles.where(F.col("n_words") < window), F.lit(0), sha, none))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import id_and_text, stored
+from .common import attach, id_and_text, stored
 
 
 def shared_windows(left: np.ndarray, right: np.ndarray, doc: np.ndarray, last: np.ndarray, window: int):
@@ -57,40 +57,21 @@ def shared_windows(left: np.ndarray, right: np.ndarray, doc: np.ndarray, last: n
 
 def _search(window: int):
     def work(entries: list[tuple]):
-        known: dict[tuple, list] = {}
-        for _, h, doc, starts, at, line in entries:  # in order of doc
-            known.setdefault((h, at, line), []).extend((doc, start) for start in starts)
         ids: dict[bytes, int] = {}
         held = []
-        for (_, at, line), places in known.items():
+        for _, at, line, _, _ in entries:
             words = [ids.setdefault(w, len(ids) + 1) for w in line.split()]
-            held.append((words[:at][::-1], words[at:], places[0][0], places))
+            held.append((words[:at][::-1], words[at:]))
         left = np.zeros((len(held), max(1, max(len(e[0]) for e in held))), np.int32)
         right = np.zeros((len(held), max(len(e[1]) for e in held)), np.int32)
         for i, e in enumerate(held):
-            left[i, : len(e[0])], right[i, : len(e[1])] = e[0], e[1]
-            if e[3][0][0] != e[3][-1][0]:  # equal segments of several documents match as a whole
-                for doc, start in e[3]:
-                    yield doc, start, start + len(e[0]) + len(e[1]), e[2]
-        for at, o, least in shared_windows(left, right[:, :window], np.array([e[2] for e in held]), np.array([e[3][-1][0] for e in held]), window):
-            for i, d in zip(at.tolist(), least.tolist()):
+            left[i, : len(e[0])], right[i, : len(e[1])] = e
+        for at, o, first in shared_windows(left, right[:, :window], np.array([e[3] for e in entries]), np.array([e[4] for e in entries]), window):
+            for i, d in zip(at.tolist(), first.tolist()):
                 begin = len(held[i][0]) - o
-                for doc, start in held[i][3]:
-                    yield doc, start + begin, start + begin + window, d
+                yield entries[i][0], begin, begin + window, d
 
-    def squeezed(entries: list[tuple]):
-        held = None
-        for doc, a, b, first in sorted(work(entries)):
-            if held and held[0] == doc and a <= held[2]:
-                held[2], held[3] = max(held[2], b), min(held[3], first)
-            else:
-                if held:
-                    yield tuple(held)
-                held = [doc, a, b, first]
-        if held:
-            yield tuple(held)
-
-    return squeezed
+    return work
 
 
 def _merge(batches):
@@ -104,30 +85,48 @@ def _merge(batches):
 
 
 def shared_passages(docs: DataFrame, window: int = anchors.WINDOW, crowded: int = anchors.CROWDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start_word, end_word, first_doc_id``: the maximal passages of each document, in words
+    """``doc_id, start_word, end_word, first_doc_id``: the maximal passages of each text, in words
     (between ASCII white space; end exclusive), all of whose words lie in windows of ``window`` words that
-    another document has as well.
+    a text under another id has as well.
 
     ``first_doc_id`` is the smallest id of the documents that share a window of the passage, maybe the document's own;
     passages whose first document is another one can be removed.  Texts with equal words share all
-    of them, if they have a window.  Documents without such passages have no row, nor have null, empty and
-    shorter texts; equal rows with one id are one document; rows without an id take part after all others and have
-    a null id; an empty table gives no rows; other columns are not read.
+    of them, if they have a window and different ids.  Texts without such passages have no row, nor have null, empty and
+    shorter texts; different texts under one id each have their own rows, equal ones the same rows once; rows without an id take
+    part after all others, as if under one last id, and have a null id; an empty table gives no rows; other columns are not read.
 
-    Each anchor's suffixes meet in one shard, of which only the distinct ones are sorted; those of an anchor that
-    more than ``crowded`` texts have meet by the words on one side of it.
+    Each anchor's suffixes meet in one shard, to which equal segments go as one; those of an anchor that has more than
+    ``crowded`` distinct segments meet by the words on one side of it.
     """
     given = id_and_text(docs, id_col, text_col)
-    profiles = anchors.profile(given, window)
-    segments = anchors.shared_segments(given, profiles, window, "sides", crowded)
-    found = stored(segments.mapInArrow(anchors.by_shard(_search(window)), anchors.SPANS), "passages")
-    classes = profiles.where(F.col("n_words") >= window).select(F.coalesce("doc_id", F.lit(anchors.LAST)).alias("doc"), "least", "n_words").distinct()
-    copies = classes.where("doc > least").select("least").distinct()
-    # what a group's first document shares with still smaller ones, its copies share as well
-    before = found.groupBy(F.col("doc").alias("least")).agg(F.min("first").alias("before"))
-    whole = classes.join(copies, "least").join(before, "least", "left").select("doc", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"), F.least("least", "before").alias("first"))
-    rows = found.union(whole)
-    by_doc = rows.groupBy("doc").agg(F.collect_set(F.struct("start", "end", "first")).alias("spans"))
-    out = by_doc.mapInArrow(_merge, anchors.SPANS)
+    profiles, searched = anchors.profile(given, window)
+    cut = anchors.segments(given, searched, window)
+    found = anchors.matches(cut, _search(window), window, crowded)
+    found = stored(found.groupBy("seg").agg(F.collect_set(F.struct("start", "end", "first")).alias("spans")), "passages")
+    equal = cut.groupBy("seg").agg(F.min("doc").alias("x"), F.max("top").alias("y"), F.first("len").alias("end"), F.count("*").alias("n"))
+    # segments that several ids have are shared as a whole
+    whole = F.when(F.col("x") < F.col("y"), F.array(F.struct(F.lit(0).alias("start"), F.col("end"), F.col("x").alias("first")))).otherwise(F.array())
+    known = equal.join(found, "seg", "left").select("seg", "n", F.concat(whole, F.coalesce("spans", F.array())).alias("spans")).where(F.size("spans") > 0)
+    members = at_places(cut, stored(known, "passages-segments"))
+    spans = members.select("doc", "raw", "text_key", F.explode("spans").alias("s")).groupBy("text_key", "doc").agg(F.collect_set("s").alias("spans"))
+    spans = stored(spans, "passages-texts")
+    classes = profiles.where(F.col("n_words") >= window)
+    alone = spans.join(classes.where("least = most").select("text_key").distinct(), "text_key", "left_semi").select("doc", "spans").mapInArrow(_merge, SPANS)
+    # what the first document of equal texts shares with still smaller ones, its copies share as well
+    before = spans.select("text_key", F.array_min(F.transform("spans", lambda s: s["first"])).alias("before"))
+    copied = classes.where("least < most").groupBy("text_key").agg(F.min("least").alias("least"), F.first("n_words").alias("end"), F.count("*").alias("n"))
+    copied = stored(copied.join(before, "text_key", "left").select("text_key", "n", "end", F.least("least", "before").alias("first")), "passages-copies")
+    rows = classes.where("least < most").select("text_key", "own").distinct()
+    whole = attach(rows, copied, ["text_key"]).select(F.col("own").alias("doc"), F.lit(0).cast("long").alias("start"), "end", "first")
     null = lambda c: F.when(F.col(c) != anchors.LAST, F.col(c))
-    return out.select(null("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), null("first").alias("first_doc_id"))
+    return alone.union(whole).distinct().select(null("doc").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"), null("first").alias("first_doc_id"))
+
+
+SPANS = "doc long, start long, end long, first long"
+
+
+def at_places(cut: DataFrame, known: DataFrame) -> DataFrame:
+    """``doc, raw, text_key, spans``: the spans of ``known`` segments at all their places in the texts."""
+    at = lambda start, s: F.struct((start + s["start"]).cast("long").alias("start"), (start + s["end"]).cast("long").alias("end"), s["first"].alias("first"))
+    members = attach(cut.select("seg", "doc", "raw", "text_key", "starts"), known, ["seg"])
+    return members.select("doc", "raw", "text_key", F.flatten(F.transform("starts", lambda x: F.transform("spans", lambda s: at(x, s)))).alias("spans"))

@@ -48,30 +48,35 @@ def components(fps: list[int], ids: list, bits: int = 3) -> list:
     return [least.get(root(i)) for i in range(len(ids))]
 
 
-def removed(docs: dict[int, str], window: int = 50) -> dict[int, tuple[int, int, str]]:
+LAST = 2**63 - 1  # a row without an id counts as larger than any
+
+
+def removed(rows: list[tuple], window: int = 50) -> list[tuple]:
+    """``doc_id, n_words, n_removed, sha`` of each row, every row judged by itself."""
     first: dict = {}
-    split = {d: words(t) for d, t in docs.items()}
-    for d in sorted(split):
-        for k in range(len(split[d]) - window + 1):
-            first.setdefault(tuple(split[d][k : k + window]), d)
-    out = {}
-    for d, w in split.items():
+    split = [(LAST if d is None else d, d, words(t)) for d, t in rows]
+    for own, _, w in split:
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            first[key] = min(first.get(key, own), own)
+    out = []
+    for own, d, w in split:
         gone = [False] * len(w)
         for k in range(len(w) - window + 1):
-            if first[tuple(w[k : k + window])] < d:
+            if first[tuple(w[k : k + window])] < own:
                 gone[k : k + window] = [True] * window
-        out[d] = (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g)))
+        out.append((d, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g))))
     return out
 
 
-def passages(docs: dict[int, str], window: int = 50) -> set[tuple[int, int, int, int]]:
+def passages(rows: list[tuple], window: int = 50) -> set[tuple]:
     where = collections.defaultdict(set)
-    split = {d: words(t) for d, t in docs.items()}
-    for d, w in split.items():
+    split = [(LAST if d is None else d, d, words(t)) for d, t in rows]
+    for own, _, w in split:
         for k in range(len(w) - window + 1):
-            where[tuple(w[k : k + window])].add(d)
+            where[tuple(w[k : k + window])].add(own)
     out = set()
-    for d, w in split.items():
+    for _, d, w in split:
         spans = []
         for k in range(len(w) - window + 1):
             have = where[tuple(w[k : k + window])]
@@ -80,7 +85,7 @@ def passages(docs: dict[int, str], window: int = 50) -> set[tuple[int, int, int,
                     spans[-1][1:] = [k + window, min(spans[-1][2], *have)]
                 else:
                     spans.append([k, k + window, min(have)])
-        out |= {(d, *s) for s in spans}
+        out |= {(d, a, b, None if f == LAST else f) for a, b, f in spans}
     return out
 
 

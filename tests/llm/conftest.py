@@ -35,6 +35,17 @@ def docs(spark, texts):
     return spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, lang string, source string, " + CLASHES)
 
 
+@pytest.fixture(scope="session")
+def shared_ids(spark):
+    """Different texts under one id and without an id, some of which share a passage, and repeated rows."""
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passage, other = text(60), text(70)
+    rows = [(1, text(20) + " " + passage + " " + text(30)), (5, text(40) + " " + passage), (5, text(80)), (None, text(5) + " " + passage), (None, text(91)), (None, text(40) + " " + other), (None, other + " " + text(9)), (8, other), (8, text(3) + " " + other), (9, passage)]
+    rows += [rows[1], rows[4], (None, "  ".join(rows[4][1].split())), (7, "\n".join(rows[0][1].split())), (None, None), (5, "")]
+    return spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, seg string")
+
+
 @pytest.fixture(scope="session")
 def empty(docs):
     return docs.where("false")

@@ -109,27 +109,35 @@ def test_language(spark, small, docs, empty):
     assert unseen.shape == (len(model.langs),) and (unseen != 0).any()
 
 
-@pytest.mark.parametrize("crowded", [1, 16_000])
-def test_substring_dedup(docs, empty, crowded):
-    rows = {r["doc_id"]: r["text"] for r in docs.where("doc_id is not null").collect()}
-    want = brute.removed(rows)
-    got = fm_index.substring_dedup(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), crowded=crowded).collect()
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == want
-    again = fm_index.substring_dedup(docs, crowded=crowded).collect()
-    assert len(again) == docs.count()
-    assert {(r["n_words"], r["n_removed"]) for r in again if r["doc_id"] is None} == {(120, 120)}
-    assert all((r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]] for r in again if r["doc_id"] is not None)
+@pytest.mark.parametrize("crowded", [1, 3, 16_000])
+def test_substring_dedup(docs, shared_ids, empty, crowded):
+    for frame in (docs, shared_ids):
+        want = brute.removed([(r["doc_id"], r["text"]) for r in frame.collect()])
+        got = fm_index.substring_dedup(frame, crowded=crowded).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == Counter(want)
+        assert all(brute.sha(r["kept_text"]) == r["kept_sha256"] for r in got if r["kept_text"] is not None)
     assert fm_index.substring_dedup(empty).collect() == []
 
 
-@pytest.mark.parametrize("crowded", [1, 16_000])
-def test_shared_passages(docs, empty, crowded):
-    rows = {r["doc_id"]: r["text"] for r in docs.where("doc_id is not null").collect()}
-    got = suffix_dedup.shared_passages(docs.where("doc_id is not null"), crowded=crowded).collect()
-    assert {tuple(r) for r in got} == brute.passages(rows) and len(got) == len(set(got))
+@pytest.mark.parametrize("crowded", [1, 3, 16_000])
+def test_shared_passages(docs, shared_ids, empty, crowded):
+    for frame in (docs, shared_ids):
+        got = suffix_dedup.shared_passages(frame, crowded=crowded).collect()
+        assert {tuple(r) for r in got} == brute.passages([(r["doc_id"], r["text"]) for r in frame.collect()]) and len(got) == len(set(got))
     assert suffix_dedup.shared_passages(empty).collect() == []
 
 
+def test_hot_keys_join_whole(spark):
+    rows = spark.range(6000).selectExpr("case when id % 3 = 0 then -1 else id % 900 end as k", "id")
+    side = rows.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 0 or k = -1")
+    from graphloom.llm.common import attach
+
+    for how in ("inner", "left"):
+        got = attach(rows, side, ["k"], how)
+        want = rows.join(side, ["k"], how)
+        assert Counter(map(tuple, got.select("k", "id", "n").collect())) == Counter(map(tuple, want.select("k", "id", "n").collect()))
+
+
 def test_fm_index_finds_what_is_there():
     rng = np.random.default_rng(2)
     parts = [rng.integers(1, 4, 30).tolist() for _ in range(20)]
