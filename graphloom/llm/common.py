@@ -91,6 +91,10 @@ def attach(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner"
     return rest.unionByName(rows.join(hot, keys))
 
 
+#: folders that this process has made below the shared folder and not removed yet
+MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder path below the shared folder of ``spark.checkpoint.dir``.
 
@@ -100,7 +104,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else "file:///tmp/graphloom-checkpoints"
-    return f"{base.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+    MADE.append(f"{base.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -111,8 +116,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store."""
+def sweep(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Remove the folders made since there were ``since`` of them (all but ``keep``); what was read from them must have been written."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+    for path in MADE[since:]:
+        if path not in keep:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+    MADE[since:] = [p for p in MADE[since:] if p in keep]

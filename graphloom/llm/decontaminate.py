@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_schema, row_struct, stored
+from .arrays import mapped, put, runs
+from .common import row_schema, row_struct, scratch, stored, sub_batches
 
 WINDOW = 10
-#: words of the items that one automaton, and so one broadcast, may hold
-AUTOMATON_WORDS = 500_000
+#: words of the items that one automaton holds on average, and bytes of texts that are held for several of them
+AUTOMATON_WORDS, BLOCK_BYTES = 500_000, 48_000_000
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 #: A-Z to lower case; what is no letter, digit or byte of a longer character separates words
 NORMAL = bytes(b if b >= 0x80 or b in _KEPT else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -139,17 +140,41 @@ class SuffixAutomaton:
         return spans, found
 
 
-def _automata(items: DataFrame, window: int, most: int, id_col: str, text_col: str) -> Iterator[bytes]:
-    """Pickled automata of the items in order, of at most ``most`` words each (one item at least)."""
-    group, words = [], 0
-    for row in items.select(F.col(id_col).cast("string"), F.coalesce(text_col, F.lit(""))).where(F.col(id_col).isNotNull()).toLocalIterator():
-        found = normal_words(row[1])
-        if group and words + len(found) > most:
-            yield pickle.dumps(SuffixAutomaton(group, window))
-            group, words = [], 0
-        group.append((row[0], found))
-        words += len(found)
-    yield pickle.dumps(SuffixAutomaton(group, window))
+def build(items: DataFrame, window: int, most: int, id_col: str, text_col: str) -> list[str]:
+    """The items' automata, each of about ``most`` words, built in tasks and pickled in the shared folder; their paths."""
+    spark = items.sparkSession
+    known = items.select(F.col(id_col).cast("string").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).where("id is not null").distinct()
+    known = stored(known.mapInArrow(_sizes, "id string, text string, n long"), "decontaminate-items")
+    shards = max(1, -(-(known.agg(F.sum("n")).first()[0] or 0) // most))
+    path = scratch(spark, "automata")
+    placed = known.where("n > 0").select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int").alias("shard"), "id", "text")
+
+    def run(batches):
+        for shard, rows in runs(batches):
+            blob = pickle.dumps(SuffixAutomaton([(name, normal_words(text)) for name, text in rows], window))
+            put(f"{path}/{shard}", np.frombuffer(blob, "u1"))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], ["shard"])
+
+    parts = min(shards, 20_000)
+    made = placed.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", "id", "text")
+    return [f"{path}/{r['shard']}" for r in stored(made.mapInArrow(run, "shard int"), "decontaminate-built").orderBy("shard").collect()]
+
+
+def _sizes(batches):
+    for batch in batches:
+        n = [len(normal_words(t)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], ["id", "text", "n"])
+
+
+_OPEN: dict[str, SuffixAutomaton] = {}
+
+
+def opened(path: str) -> SuffixAutomaton:
+    """An automaton; each worker process holds one at a time."""
+    if path not in _OPEN:
+        _OPEN.clear()
+        _OPEN[path] = pickle.loads(mapped(path, "u1"))
+    return _OPEN[path]
 
 
 SPANS = "array<struct<start:long,end:long>>"
@@ -182,50 +207,57 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW,
 
     A window is ``window`` consecutive words of an item; a shorter item (not an empty one) is one window.
     ``spans`` are the merged spans of words inside occurrences of windows; ``items`` the ids (as
-    strings, sorted) of the items whose windows occur.  Null and empty texts have no words; null or
-    empty items have no window; equal items are all named; items without an id are left out; an empty
-    table gives no rows; other columns are not read.  The texts are not shuffled.  Items beyond
-    ``most_words`` words make several automata: the texts pass each in turn, so that no broadcast is larger.
+    strings, sorted, each once) of the items whose windows occur.  Null and empty texts have no words; null or
+    empty items have no window; equal items are all named; an id that several items have is named when a window of any of them
+    occurs; items without an id are left out; repeated rows are treated alike; an empty
+    table gives no rows; other columns are not read.  The texts are neither shuffled nor written.  Items beyond
+    ``most_words`` words make several automata, which each task asks one after the other for a block of texts.
     """
-    spark = docs.sparkSession
-    now = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.expr(f"cast(null as {SPANS})").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *[row_struct(docs)] * carry)
-    blobs = _automata(items, window, most_words, item_col, item_text)
-    blob = next(blobs)
-    while blob is not None:
-        held, blob = spark.sparkContext.broadcast(blob), next(blobs, None)
-        last = blob is None
-        kind = f"doc_id long, n_words long, n_hit long, spans {SPANS}, items array<string>" + ("" if last and not clean else ", clean_text string" if last else ", text string") + f", row {row_schema(docs)}" * carry
-        now = now.select("doc_id", "text", "spans", "items", *["row"] * carry).mapInArrow(_pass(held, last, clean), kind)
-        if not last:
-            now = stored(now, "decontaminate")
-    return now
-
-
-def _pass(held, last: bool, clean: bool):
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[row_struct(docs)] * carry)
+    kind = f"doc_id long, n_words long, n_hit long, spans {SPANS}, items array<string>" + ", clean_text string" * clean + f", row {row_schema(docs)}" * carry
+    return given.mapInArrow(_pass(build(items, window, most_words, item_col, item_text), clean), kind)
+
+
+def _pass(paths: list[str], clean: bool):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches):
-        automaton = pickle.loads(held.value)
-        for batch in batches:
-            texts, before, named = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            n, hit, spans, items = [], [], [], []
-            for text, old, names in zip(texts, before, named):
+    def block(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part.column(1).to_pylist()
+        spans: list[list[list[int]]] = [[] for _ in texts]
+        items: list[set[str]] = [set() for _ in texts]
+        n = [0] * len(texts)
+        for path in paths or [""]:
+            automaton = opened(path) if path else None
+            for i, text in enumerate(texts):
                 words = normal_words(text)
-                s, found = automaton.hits(words)
-                if old:
-                    s = merged(s + [[x["start"], x["end"]] for x in old])
-                n.append(len(words))
-                hit.append(sum(b - a for a, b in s))
-                spans.append(s)
-                items.append(sorted([automaton.ids[k] for k in found] + (names or [])))
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind), pa.array(items, pa.list_(pa.string()))]
-            names = ["doc_id", "n_words", "n_hit", "spans", "items"]
-            if not last:
-                cols, names = [*cols, batch.column(1)], [*names, "text"]
-            elif clean:
-                cols, names = [*cols, pa.array([cut_words(t, s) if s else t for t, s in zip(texts, spans)], pa.string())], [*names, "clean_text"]
-            if batch.num_columns > 4:
-                cols, names = [*cols, batch.column(4)], [*names, "row"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                n[i] = len(words)
+                if automaton:
+                    s, found = automaton.hits(words)
+                    if s:
+                        spans[i] = merged(spans[i] + s) if spans[i] else s
+                        items[i] |= {automaton.ids[k] for k in found}
+        hit = [sum(b - a for a, b in s) for s in spans]
+        cols = [part.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+        names = ["doc_id", "n_words", "n_hit", "spans", "items"]
+        if clean:
+            cols, names = [*cols, pa.array([cut_words(t, s) if s else t for t, s in zip(texts, spans)], pa.string())], [*names, "clean_text"]
+        if part.num_columns > 2:
+            cols, names = [*cols, part.column(2)], [*names, "row"]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    def run(batches):
+        if len(paths) < 2:
+            for batch in batches:
+                yield from map(block, sub_batches(batch, 1))
+            return
+        held, chars = [], 0
+        for batch in batches:  # enough texts for each automaton that is read
+            held.append(batch)
+            chars += batch.column(1).nbytes
+            if chars > BLOCK_BYTES:
+                yield block(pa.concat_batches(held))
+                held, chars = [], 0
+        if held:
+            yield block(pa.concat_batches(held))
 
     return run

@@ -9,20 +9,16 @@ n-grams of a chunk of texts go to the shard that holds them, sums for each text
 
 from __future__ import annotations
 
-import io
-import mmap
-import tempfile
-import uuid
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import find, hashes, mapped, mapped_counts, put, put_counts, runs
 from .common import id_and_text, scratch, stored, sub_batches
 
 END = b"\n"  # the end token: no word holds white space
@@ -41,44 +37,11 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode().lower().split(), END]
 
 
-def hashes(words) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
-
-
 def mix(key: np.ndarray) -> np.ndarray:
     key = (key ^ (key >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return key ^ (key >> np.uint64(29))
 
 
-# Files of the shared folder
-
-
-def put(path: str, array: np.ndarray) -> None:
-    """Write an array; a second attempt of a task replaces the file as a whole."""
-    fs, at = pyarrow.fs.FileSystem.from_uri(path)
-    fs.create_dir(at.rpartition("/")[0])
-    part = f"{at}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as f:
-        f.write(memoryview(np.ascontiguousarray(array)).cast("B") if array.size else b"")
-    fs.move(part, at)
-
-
-def mapped(path: str, kind: str) -> np.ndarray:
-    """A read-only array over a file, in mapped memory; a store that cannot be mapped is read into an unlinked file."""
-    fs, at = pyarrow.fs.FileSystem.from_uri(path)
-    if isinstance(fs, pyarrow.fs.LocalFileSystem):
-        f = open(at, "rb")
-    else:
-        f = tempfile.TemporaryFile()
-        with fs.open_input_stream(at) as source:
-            while block := source.read(1 << 22):
-                f.write(block)
-        f.flush()
-    with f:
-        f.seek(0, io.SEEK_END)
-        return np.frombuffer(mmap.mmap(f.fileno(), 0, prot=mmap.PROT_READ), kind) if f.tell() else np.zeros(0, kind)
-
-
 # Arrays inside shuffled rows
 
 
@@ -120,9 +83,10 @@ class Vocabulary:
         self.old: dict[bytes, int] = {}
         self.arrays: dict[tuple[str, int], np.ndarray] = {}
 
-    def array(self, name: str, shard: int, kind: str) -> np.ndarray:
+    def array(self, name: str, shard: int) -> np.ndarray:
         if (found := self.arrays.get((name, shard))) is None:
-            found = self.arrays[name, shard] = mapped(f"{self.path}/{name}-{shard}", kind) if self.starts[shard] < self.starts[shard + 1] else np.zeros(0, kind)
+            path = f"{self.path}/{name}-{shard}"
+            found = self.arrays[name, shard] = mapped(path, "u8") if name == "hash" else mapped_counts(path)
         return found
 
     def shards_of(self, h: np.ndarray) -> np.ndarray:
@@ -132,12 +96,9 @@ class Vocabulary:
         h = hashes(words)
         out, at = np.full(len(h), self.size, np.int64), self.shards_of(h)
         for s in np.unique(at).tolist():
-            sorted_ = self.array("hash", s, "u8")
-            if len(sorted_):
-                own = np.flatnonzero(at == s)
-                place = np.minimum(np.searchsorted(sorted_, h[own]), len(sorted_) - 1)
-                hit = sorted_[place] == h[own]
-                out[own[hit]] = self.starts[s] + place[hit]
+            own = np.flatnonzero(at == s)
+            place, hit = find(self.array("hash", s), h[own])
+            out[own[hit]] = self.starts[s] + place[hit]
         return out.tolist()
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -154,14 +115,14 @@ class Vocabulary:
             found = [get(w) if x is None else x for w, x in zip(words, found)]
         return np.array(found, np.int64)
 
-    def values(self, name: str, numbers: np.ndarray, kind: str = "u4") -> np.ndarray:
+    def values(self, name: str, numbers: np.ndarray) -> np.ndarray:
         """A count for each word number; 0 beyond the known words."""
         out = np.zeros(len(numbers), np.int64)
         at = np.searchsorted(self.starts, numbers, side="right") - 1
         for s in np.unique(at).tolist():
             if s + 1 < len(self.starts):
                 own = at == s
-                out[own] = self.array(name, s, kind)[numbers[own] - self.starts[s]]
+                out[own] = self.array(name, s)[numbers[own] - self.starts[s]]
         return out
 
 
@@ -199,7 +160,7 @@ def _write_words(path: str):
         def flush():
             h, c = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
             put(f"{path}/hash-{shard}", h.view(np.uint64))
-            put(f"{path}/count-{shard}", np.minimum(c, 2**32 - 1).astype("u4"))
+            put_counts(f"{path}/count-{shard}", c)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64())], ["shard", "n", "total"])
 
         for batch in batches:
@@ -236,15 +197,12 @@ def _pairs(vocab: Vocabulary, texts: list[str]):
     return w, h, sizes
 
 
-def _homes(vocab: Vocabulary, keys: np.ndarray, model: dict) -> np.ndarray:
-    """The shard of each n-gram key: by history, and for a frequent history by the whole key as well."""
-    base = np.uint64(vocab.size + 2)
-    h = (keys // base).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(h)) + 1]) if len(h) else np.zeros(0, np.int64)  # keys ascend
-    count = np.where(h[first] == vocab.size + 1, model["texts"], vocab.values("count", h[first]))
-    ways = np.repeat((count // model["frequent"] + 1).astype(np.uint64), np.diff(np.concatenate([first, [len(h)]])))
-    way = mix(keys) % ways
-    return (mix(h.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + way) % np.uint64(model["shards"])).astype(np.int64)
+def _homes(vocab: Vocabulary, heads: np.ndarray, of: np.ndarray, w: np.ndarray, model: dict) -> np.ndarray:
+    """The shard of each n-gram: by its history (a place ``of`` in ``heads``), and for a frequent history by the word as well."""
+    count = np.where(heads == vocab.size + 1, model["texts"], vocab.values("count", heads))
+    ways = (count // model["frequent"] + 1).astype(np.uint64)
+    way = mix(w.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % ways[of]
+    return (mix(heads.astype(np.uint64)[of] * np.uint64(0x9E3779B97F4A7C15) + way) % np.uint64(model["shards"])).astype(np.int64)
 
 
 def _by_home(home: np.ndarray):
@@ -254,61 +212,73 @@ def _by_home(home: np.ndarray):
             yield int(home[at[0]]), at
 
 
+def _grams(vocab: Vocabulary, w: np.ndarray, h: np.ndarray):
+    """The histories that occur, and for each n-gram its key (the history's place among them, and the word), ascending, and how often it occurs."""
+    heads, of = np.unique(h, return_inverse=True)
+    keys = of.astype(np.uint64) * np.uint64(vocab.size + 2) + w.astype(np.uint64)
+    return heads, keys
+
+
+def _sent(vocab: Vocabulary, heads: np.ndarray, keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Some of the n-grams with the histories that they need only."""
+    base = np.uint64(vocab.size + 2)
+    some, of = np.unique((keys // base).astype(np.int64), return_inverse=True)
+    return packed(heads[some].astype(np.uint64)), packed(of.astype(np.uint64) * base + keys % base)
+
+
+def _received(vocab: Vocabulary, heads: bytes, keys: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The histories and words of n-grams as sent."""
+    base, x = np.uint64(vocab.size + 2), unpacked(keys)
+    return unpacked(heads).astype(np.int64)[(x // base).astype(np.int64)], (x % base).astype(np.int64)
+
+
 def _count_grams(model: dict):
     def run(batches):
         vocab = vocabulary(model)
+        base = np.uint64(vocab.size + 2)
         for batch in batches:
             for part in sub_batches(batch, 0, CHUNK_CHARS):
                 w, h, _ = _pairs(vocab, part.column(0).to_pylist())
-                keys, counts = np.unique(h.astype(np.uint64) * np.uint64(vocab.size + 2) + w.astype(np.uint64), return_counts=True)
-                rows = [(s, packed(keys[at]), squeezed(counts[at].astype("<u4"))) for s, at in _by_home(_homes(vocab, keys, model))]
-                cols = list(zip(*rows)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["shard", "keys", "counts"])
+                heads, keys = _grams(vocab, w, h)
+                keys, counts = np.unique(keys, return_counts=True)
+                home = _homes(vocab, heads, (keys // base).astype(np.int64), (keys % base).astype(np.int64), model)
+                rows = [(s, *_sent(vocab, heads, keys[at]), squeezed(counts[at].astype("<u4"))) for s, at in _by_home(home)]
+                cols = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["shard", "heads", "keys", "counts"])
 
     return run
 
 
-def _runs(batches):
-    """``shard, rows`` over batches sorted by shard in the first column."""
-    shard, rows = None, []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns]):
-            if row[0] != shard:
-                if rows:
-                    yield shard, rows
-                shard, rows = row[0], []
-            rows.append(row[1:])
-    if rows:
-        yield shard, rows
-
-
 def _write_grams(model: dict):
     """A shard's counts as sorted arrays; gives counts of counts, and continuation counts by vocabulary shard."""
 
     def run(batches):
         vocab = vocabulary(model)
         base = np.uint64(vocab.size + 2)
-        for shard, rows in _runs(batches):
-            keys, counts = np.concatenate([unpacked(r[0]) for r in rows]), np.concatenate([spread(r[1], "<u4") for r in rows])
+        for shard, rows in runs(batches):
+            h, w = (np.concatenate(x) for x in zip(*[_received(vocab, r[0], r[1]) for r in rows]))
+            counts = np.concatenate([spread(r[2], "<u4") for r in rows])
+            heads, keys = _grams(vocab, w, h)
+            del h, w
             order = np.argsort(keys, kind="stable")
             keys, counts = keys[order], counts[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             keys, counts = keys[first], np.add.reduceat(counts.astype(np.int64), first)
             put(f"{model['path']}/gram-{shard}", keys)
-            put(f"{model['path']}/gramcount-{shard}", np.minimum(counts, 2**32 - 1).astype("u4"))
+            put_counts(f"{model['path']}/gramcount-{shard}", counts)
             # how many different n-grams follow each history, by count 1, 2, 3 and more
-            h = (keys // base).astype(np.int64)
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            of = (keys // base).astype(np.int64)
+            start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             kinds = [np.add.reduceat((counts == k) if k < 3 else (counts >= 3), start, dtype=np.int64) for k in (1, 2, 3)]
-            put(f"{model['path']}/history-{shard}", h[start])
-            put(f"{model['path']}/kinds-{shard}", np.stack(kinds, axis=1).astype("u4"))
-            total = np.where(h[start] == vocab.size + 1, model["texts"], vocab.values("count", h[start]))
+            put(f"{model['path']}/history-{shard}", heads)
+            put_counts(f"{model['path']}/kinds-{shard}", np.stack(kinds, axis=1))
+            total = np.where(heads == vocab.size + 1, model["texts"], vocab.values("count", heads))
             many = np.flatnonzero(total // model["frequent"] > 0)
-            parts = np.stack([h[start][many], *[k[many] for k in kinds]], axis=1).astype("<i8")
+            parts = np.stack([heads[many], *[k[many] for k in kinds]], axis=1).astype("<i8")
             of_counts = np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [len(keys)], "<i8")
             out = [(-1, of_counts.tobytes(), parts.tobytes())]
             w, n = np.unique((keys % base).astype(np.int64), return_counts=True)
-            out += [(s, packed(w[at]), squeezed(n[at].astype("<u4"))) for s, at in _by_home(np.searchsorted(vocab.starts, w, side="right") - 1)]
+            out += [(s, packed(w[at]), squeezed(n[at].astype("<u8"))) for s, at in _by_home(np.searchsorted(vocab.starts, w, side="right") - 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], ["shard", "keys", "counts"])
 
     return run
@@ -317,18 +287,22 @@ def _write_grams(model: dict):
 def _write_continuations(model: dict):
     def run(batches):
         vocab = vocabulary(model)
-        for shard, rows in _runs(batches):
+        for shard, rows in runs(batches):
             counts = np.zeros(vocab.starts[shard + 1] - vocab.starts[shard], np.int64)
             for keys, n in rows:
-                counts[unpacked(keys).astype(np.int64) - vocab.starts[shard]] += spread(n, "<u4")
-            put(f"{model['path']}/before-{shard}", counts.astype("u4"))
+                counts[unpacked(keys).astype(np.int64) - vocab.starts[shard]] += spread(n, "<u8").astype(np.int64)
+            put_counts(f"{model['path']}/before-{shard}", counts)
             yield pa.RecordBatch.from_arrays([pa.array([int((counts == k).sum()) for _ in (0,)], pa.int64()) for k in (1, 2, 3, 4)] + [pa.array([int((counts >= 3).sum())], pa.int64())], ["n1", "n2", "n3", "n4", "n3up"])
 
     return run
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
-    """What is taken from counts of 0, 1, 2, and 3 or more."""
+    """What is taken from counts of 0, 1, 2, and 3 or more, from how many n-grams occur once to four times.
+
+    The usual estimate is not defined without n-grams that occur once or twice (then 0.5 is taken, as in absolute discounting), nor
+    where no count is 3 (then 1.5); it is kept from 0.05 up to 0.05 below the next count, so that no probability becomes zero or negative.
+    """
     if not n1 or not n2:
         return [0.0, 0.5, 0.5, 0.5]
     y = n1 / (n1 + 2 * n2)
@@ -337,7 +311,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> dict:
-    """Count the n-grams of all texts; the result describes the model's files in the shared folder."""
+    """Count the n-grams of all texts; the result describes the model's files in the shared folder.
+
+    Null and empty texts are one end token; repeated rows count each; an empty table gives a model in which every
+    text has probability one; other columns, and ids, are not read.
+    """
     spark = docs.sparkSession
     path = scratch(spark, "kneser-ney")
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -346,7 +324,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     bits = max(0, (size // SHARD_WORDS).bit_length())
     shard = (F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0)).cast("int")
     parts = min(1 << bits, 20_000)
-    made = words.select(shard.alias("shard"), "h", "c").repartition(parts, "shard").sortWithinPartitions("shard", F.col("h").bitwiseXOR(F.lit(-(2**63)).cast("long")))
+    made = words.select(shard.alias("shard"), "h", "c").repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard", F.col("h").bitwiseXOR(F.lit(-(2**63)).cast("long")))
     rows = sorted(stored(made.mapInArrow(_write_words(path), "shard int, n long, total long"), "kn-sizes").collect())
     sizes = {r["shard"]: r["n"] for r in rows}
     total = sum(r["total"] for r in rows)
@@ -356,15 +334,15 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     shards = max(1, -(-total // SHARD_TOKENS))
     model = {"path": path, "bits": bits, "starts": starts, "words": size, "tokens": total, "shards": shards, "texts": texts.count(), "frequent": max(1000, total // (4 * shards))}
     many = min(shards, 20_000)
-    grams = texts.mapInArrow(_count_grams(model), "shard int, keys binary, counts binary")
-    told = stored(grams.repartition(many, "shard").sortWithinPartitions("shard").mapInArrow(_write_grams(model), "shard int, keys binary, counts binary"), "kn-counts")
+    grams = texts.mapInArrow(_count_grams(model), "shard int, heads binary, keys binary, counts binary")
+    told = stored(grams.repartitionById(many, F.pmod("shard", F.lit(many)).cast("int")).sortWithinPartitions("shard").mapInArrow(_write_grams(model), "shard int, keys binary, counts binary"), "kn-counts")
     of_counts, frequent = np.zeros(5, np.int64), {}
     # a row for each shard, with the parts of the frequent histories that it holds (a few for each shard)
     for r in told.where("shard = -1").toLocalIterator():
         of_counts += np.frombuffer(r["keys"], "<i8")
         for h, *kinds in np.frombuffer(r["counts"], "<i8").reshape(-1, 4).tolist():
             frequent[h] = np.add(frequent.get(h, [0, 0, 0]), kinds).tolist()
-    after = told.where("shard >= 0").repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_write_continuations(model), "n1 long, n2 long, n3 long, n4 long, n3up long")
+    after = told.where("shard >= 0").repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard").mapInArrow(_write_continuations(model), "n1 long, n2 long, n3 long, n4 long, n3up long")
     sums = [x or 0 for x in stored(after, "kn-continuations").groupBy().sum().first()]
     lower = discounts(*sums[:4])
     grams_seen = int(of_counts[4])
@@ -373,60 +351,59 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
 
 
 def _ask(model: dict):
-    """Chunks of texts: a row with their base figures, and for each shard their n-grams with the texts that hold them."""
-    kind = ["shard", "chunk", "docs", "base", "keys", "counts", "at"]
+    """Chunks of texts: a row with their base figures, and for each shard their n-grams with the texts that hold them.
+
+    A chunk's name is its place in the input, so a task that runs again gives the same.
+    """
+    names = ["shard", "chunk", "docs", "base", "heads", "keys", "counts", "at"]
+    kinds = [pa.int32(), pa.string(), pa.int32(), *[pa.binary()] * 5]
 
     def run(batches):
         vocab = vocabulary(model)
+        base_of = np.uint64(vocab.size + 2)
         scale = model["tokens"] + ALPHA * (model["words"] + 1)
+        place, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in sub_batches(batch, 1, CHUNK_CHARS):
                 w, h, sizes = _pairs(vocab, part.column(1).to_pylist())
                 of = np.repeat(np.arange(len(sizes)), sizes)
                 base = np.bincount(of, np.log10((vocab.values("count", w) + ALPHA) / scale), len(sizes))
                 known = np.bincount(of, w < vocab.size, len(sizes))
-                chunk = uuid.uuid4().hex
+                chunk, number = f"{place}-{number}", number + 1
                 ids = pa.array(part.column(0)).to_pylist()
                 ids = np.array([(0, 1) if x is None else (x, 0) for x in ids], "<i8")
-                key = h.astype(np.uint64) * np.uint64(vocab.size + 2) + w.astype(np.uint64)
+                heads, key = _grams(vocab, w, h)
                 order = np.argsort(key, kind="stable")
                 key, of = key[order], of[order]
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                 keys, counts = key[first], np.diff(np.concatenate([first, [len(key)]]))
-                home = _homes(vocab, keys, model)
-                by_token = np.repeat(home, counts)
-                tokens_of = {s: at for s, at in _by_home(by_token)}
-                rows = [(s, chunk, len(sizes), None, packed(keys[at]), squeezed(counts[at].astype("<u4")), of[tokens_of[s]].astype("<u4" if len(sizes) > 65535 else "<u2").tobytes()) for s, at in _by_home(home)]
-                rows.append((rows[0][0], chunk, len(sizes), np.stack([*ids.T.astype("<f8"), base, sizes, known]).astype("<f8").tobytes(), ids.tobytes(), None, None))
-                cols = list(zip(*rows))
-                kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], kind)
+                home = _homes(vocab, heads, (keys // base_of).astype(np.int64), (keys % base_of).astype(np.int64), model)
+                tokens_of = {s: at for s, at in _by_home(np.repeat(home, counts))}
+                rows = [(s, chunk, len(sizes), None, *_sent(vocab, heads, keys[at]), squeezed(counts[at].astype("<u4")), of[tokens_of[s]].astype("<u4" if len(sizes) > 65535 else "<u2").tobytes()) for s, at in _by_home(home)]
+                at = int(mix(hashes([chunk.encode()]))[0] % np.uint64(model["shards"]))
+                rows.append((at, chunk, len(sizes), np.stack([base, sizes, known]).astype("<f8").tobytes(), ids.tobytes(), None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     return run
 
 
 def probabilities(model: dict, vocab: Vocabulary, shard: int):
-    """A function from ascending n-gram keys of a shard to probabilities."""
+    """A function from histories and words (numbers) of a shard's n-grams to probabilities."""
     base = np.uint64(vocab.size + 2)
-    there = shard in model["written"]
-    grams, counts, history, kinds = (mapped(f"{model['path']}/{name}-{shard}", t) if there else np.zeros(0, t) for name, t in (("gram", "u8"), ("gramcount", "u4"), ("history", "i8"), ("kinds", "u4")))
-    kinds = kinds.reshape(-1, 3)
+    grams, history = mapped(f"{model['path']}/gram-{shard}", "u8"), mapped(f"{model['path']}/history-{shard}", "i8")
+    counts, kinds = mapped_counts(f"{model['path']}/gramcount-{shard}"), mapped_counts(f"{model['path']}/kinds-{shard}").reshape(-1, 3)
     d, lower = np.array(model["discounts"]), np.array(model["lower"])
 
-    def find(sorted_: np.ndarray, x: np.ndarray):
-        at = np.minimum(np.searchsorted(sorted_, x), max(0, len(sorted_) - 1))
-        return at, (sorted_[at] == x) if len(sorted_) else np.zeros(len(x), bool)
-
-    def run(keys: np.ndarray) -> np.ndarray:
-        h, w = (keys // base).astype(np.int64), (keys % base).astype(np.int64)
+    def run(h: np.ndarray, w: np.ndarray) -> np.ndarray:
         before = vocab.values("before", w)
         uniform = 1 / (model["words"] + 1)
-        low = (before - lower[np.minimum(before, 3)]) / model["grams"] + model["spare"] / model["grams"] * uniform if model["grams"] else np.full(len(keys), uniform)
-        at, seen = find(grams, keys)
-        c = np.where(seen, counts[at] if len(counts) else 0, 0).astype(np.int64)
+        low = (before - lower[np.minimum(before, 3)]) / model["grams"] + model["spare"] / model["grams"] * uniform if model["grams"] else np.full(len(w), uniform)
         hs, back = np.unique(h, return_inverse=True)
-        at, known = find(history, hs)
-        n = np.where(known[:, None], kinds[at], 0) if len(kinds) else np.zeros((len(hs), 3))
+        place, known = find(history, hs)
+        at, seen = find(grams, place[back].astype(np.uint64) * base + w.astype(np.uint64))
+        seen &= known[back]
+        c = np.where(seen, counts[at] if len(counts) else 0, 0).astype(np.int64)
+        n = np.where(known[:, None], kinds[place], 0).astype(np.int64) if len(kinds) else np.zeros((len(hs), 3), np.int64)
         total = np.where(hs == vocab.size + 1, model["texts"], vocab.values("count", hs)).astype(float)
         for i in np.flatnonzero(total >= model["frequent"]).tolist():  # parts of these are in several shards
             n[i] = model["kinds"].get(int(hs[i]), n[i])
@@ -444,13 +421,13 @@ def _answer(model: dict):
         shard = of = None
         for batch in batches:
             out = []
-            for s, chunk, n, base, keys, counts, at in zip(*[c.to_pylist() for c in batch.columns]):
+            for s, chunk, n, base, heads, keys, counts, at in zip(*[c.to_pylist() for c in batch.columns]):
                 if base is not None:
-                    out.append((chunk, base, keys))
+                    out.append((chunk, base, heads))
                     continue
                 if s != shard:
                     shard, of = s, probabilities(model, vocab, s)
-                logs = np.repeat(np.log10(of(unpacked(keys))), spread(counts, "<u4"))
+                logs = np.repeat(np.log10(of(*_received(vocab, heads, keys))), spread(counts, "<u4"))
                 sums = np.bincount(np.frombuffer(at, "<u4" if n > 65535 else "<u2"), logs, n)
                 out.append((chunk, sums.astype("<f8").tobytes(), None))
             cols = list(zip(*out)) or [()] * 3
@@ -460,15 +437,15 @@ def _answer(model: dict):
 
 
 def _sum(batches):
-    for _, rows in _runs(batches):
+    for _, rows in runs(batches):
         head, score = None, 0.0
         for sums, ids in rows:
             if ids is not None:
-                head, given = np.frombuffer(sums, "<f8").reshape(5, -1), np.frombuffer(ids, "<i8").reshape(-1, 2)
+                head, given = np.frombuffer(sums, "<f8").reshape(3, -1), np.frombuffer(ids, "<i8").reshape(-1, 2)
             else:
                 score = score + np.frombuffer(sums, "<f8")
         doc = pa.array(given[:, 0], pa.int64(), mask=given[:, 1] == 1)
-        yield pa.RecordBatch.from_arrays([doc, pa.array(head[3].astype(np.int64)), pa.array(head[4].astype(np.int64)), pa.array(head[2]), pa.array(np.broadcast_to(score, len(given)).astype(float))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        yield pa.RecordBatch.from_arrays([doc, pa.array(head[1].astype(np.int64)), pa.array(head[2].astype(np.int64)), pa.array(head[0]), pa.array(np.broadcast_to(score, len(given)).astype(float))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -479,14 +456,10 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     smoothing of single words.  Null and empty texts are one end token; repeated rows are scored each; an
     empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs.Path(model["path"])
-    names = [f.getPath().getName() for f in fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(fs)] if model["words"] else []
-    model = model | {"written": frozenset(int(x.split("-")[1]) for x in names if x.startswith("gram-") and "." not in x)}
     given = id_and_text(docs, id_col, text_col)
     parts = min(model["shards"], 20_000)
-    asked = given.mapInArrow(_ask(model), "shard int, chunk string, docs int, base binary, keys binary, counts binary, at binary")
-    told = stored(asked.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_answer(model), "chunk string, sums binary, ids binary"), "kn-sums")
+    asked = given.mapInArrow(_ask(model), "shard int, chunk string, docs int, base binary, heads binary, keys binary, counts binary, at binary")
+    told = stored(asked.repartitionById(parts, F.pmod("shard", F.lit(parts)).cast("int")).sortWithinPartitions("shard").mapInArrow(_answer(model), "chunk string, sums binary, ids binary"), "kn-sums")
     by_chunk = told.repartition(F.col("chunk")).sortWithinPartitions("chunk")
     out = by_chunk.mapInArrow(_sum, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -10,20 +10,24 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_schema, row_struct, scratch
+from .arrays import find as find_in
+from .common import row_schema, row_struct, scratch, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base kinds.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: a run of digits is tried from its start only, where any match begins, so long ones take linear time
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -33,9 +37,11 @@ WORD = re.compile(r"[^\W\d_]+")
 #: words on either side of an entity that may reveal it
 NEAR = 6
 #: letters of a term at least, different texts that must hold term and entity together, and the share of information
-TERM_LETTERS, SUPPORT, SHARE = 4, 3, 0.9
-#: revealing pairs, and candidate terms, that may be broadcast at once
-BROADCAST_ROWS = 100_000
+TERM_LETTERS, SUPPORT, SHARE = 4, 1, 0.9
+#: revealing pairs (as 64-bit keys), and candidate terms, that may be broadcast at once
+BROADCAST_PAIRS, BROADCAST_TERMS = 2_000_000, 100_000
+#: terms that a task counts before it hands on what it has
+COUNTED_TERMS = 300_000
 
 
 def luhn(digits: str) -> bool:
@@ -80,20 +86,33 @@ def entity(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{plain}".encode()) - 2**63
 
 
+def pair_key(entity: int, term: str) -> int:
+    """What ``xxhash64(entity, term)`` gives in Spark."""
+    return xxhash.xxh64_intdigest(term.encode(), xxhash.xxh64_intdigest(entity.to_bytes(8, "little", signed=True), 42))
+
+
 def near_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, str, int, int]]:
-    """``entity, term, start, end`` for the terms near each span and outside all spans."""
-    inside = sorted((a, b) for _, a, b in spans)
+    """``entity, term, start, end`` for the terms among the :data:`NEAR` words on either side of each span, outside all spans."""
+    words = [m.span() for m in WORD.finditer(text)]
+    inside: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if inside and a <= inside[-1][1]:
+            inside[-1][1] = max(inside[-1][1], b)
+        else:
+            inside.append([a, b])
+    starts = [a for a, _ in inside]
+    free = []
+    for x, y in words:
+        at = bisect_left(starts, y) - 1  # the last merged span that begins before the word ends
+        if at < 0 or inside[at][1] <= x:
+            free.append((x, y))
+    ends = [y for _, y in free]
     for kind, a, b in spans:
-        key, reach = entity(kind, text[a:b]), 24 * NEAR
-        before = [m for m in WORD.finditer(text, max(0, a - reach), a)]
-        if before and before[0].start() and before[0].start() == max(0, a - reach):
-            before = before[1:]  # may be the rest of a longer word
-        after = [m for m in WORD.finditer(text, b, b + reach)]
-        if after and after[-1].end() == b + reach < len(text):
-            after = after[:-1]
-        for m in before[-NEAR:] + after[:NEAR]:
-            if len(m[0]) >= TERM_LETTERS and not any(x < m.end() and m.start() < y for x, y in inside):
-                yield key, m[0].lower(), m.start(), m.end()
+        key = entity(kind, text[a:b])
+        before, after = bisect_right(ends, a), bisect_left(free, (b, b))
+        for x, y in free[max(0, before - NEAR) : before] + free[after : after + NEAR]:
+            if y - x >= TERM_LETTERS:
+                yield key, text[x:y].lower(), x, y
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -116,34 +135,37 @@ def contexts(docs: DataFrame) -> DataFrame:
 
 
 def term_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, n``: the number of texts (rows) that hold each of ``terms``, over all of ``docs``.
+    """``term, n``: the number of texts (rows) that hold each of ``terms``, over all of ``docs``, in one pass over the texts.
 
-    The wanted terms go to the workers in blocks of :data:`BROADCAST_ROWS`, one pass over the texts for each.
+    Up to :data:`BROADCAST_TERMS` wanted terms go to the workers, which then count no others; more are joined with the counts of all words.
     """
     spark = docs.sparkSession
-    wanted = terms.select("term").distinct()
-    blocks = -(-max(1, wanted.count()) // BROADCAST_ROWS)
-    out = None
-    for k in range(blocks):
-        some = frozenset(r[0] for r in wanted.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k).toLocalIterator())
-        held = spark.sparkContext.broadcast(some)
-
-        def run(batches, held=held):
-            wanted, counts = held.value, Counter()
-            for batch in batches:
-                for text in batch.column(1).to_pylist():
-                    counts.update(wanted.intersection(WORD.findall(text.lower())))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-
-        part = docs.select("doc_id", "text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        out = part if out is None else out.union(part)
-    return out
+    wanted = stored(terms.select("term").distinct(), "pii-wanted")
+    few = wanted.count() <= BROADCAST_TERMS
+    held = spark.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect())) if few else None
+
+    def run(batches):
+        some, counts = held.value if few else None, Counter()
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                found = WORD.findall(text.lower())
+                counts.update(some.intersection(found) if few else {w for w in found if len(w) >= TERM_LETTERS})
+                if len(counts) > COUNTED_TERMS:
+                    yield rows(counts)
+                    counts = Counter()
+        yield rows(counts)
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
+    counts = docs.select("doc_id", "text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return counts if few else counts.join(wanted, "term", "left_semi")
 
 
 def revealing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """``entity, term, share``: the terms that reveal an entity near them (``docs``: ``doc_id, text``).
 
-    Pairs need ``support`` different texts; the share of information is ``PMI / IC`` over all rows:
+    Pairs need ``support`` different texts (one: a term that stands in no other text tells which text it is, and so the entity); the share of information is ``PMI / IC`` over all rows:
     ``log2(c D / (n(e) n(t))) / log2(D / n(e))``.
     """
     found = contexts(docs)
@@ -174,31 +196,40 @@ def find(docs: DataFrame, clean: bool = False, carry: bool = False, support: int
     texts without spans stay as they are.  Null and empty texts have no spans; repeated rows are treated
     alike; an empty table gives no rows; other columns are not read.
 
-    The texts are read again for the terms' counts and for the spans, never shuffled.  Up to
-    :data:`BROADCAST_ROWS` revealing pairs are broadcast; beyond that each text's pairs come by a join on
-    the id and a key of the text.
+    The texts are read again for the terms' counts and for the spans.  Up to :data:`BROADCAST_PAIRS` revealing pairs
+    are broadcast; beyond that the texts with spans, and no others, are shuffled to meet their own pairs.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[row_struct(docs)] * carry)
-    path = scratch(spark, "pii-terms")
-    revealing(given, support, share).write.parquet(path)
-    pairs = spark.read.parquet(path)
+    pairs = stored(revealing(given, support, share).select(F.xxhash64("entity", "term").alias("pair")), "pii-terms")
     kind = "doc_id long, spans array<struct<kind:string,start:long,end:long>>" + ", clean_text string" * clean + f", row {row_schema(docs)}" * carry
-    if pairs.count() <= BROADCAST_ROWS:
-        held = spark.sparkContext.broadcast({(r["entity"], r["term"]) for r in pairs.collect()})
-        return given.select("doc_id", "text", F.lit(None).cast("array<struct<entity:long,term:string>>").alias("own"), *["row"] * carry).mapInArrow(_spans(held, clean), kind)
-    keyed = given.withColumn("text_key", F.xxhash64("text"))
-    near = keyed.select("doc_id", "text", "text_key").mapInArrow(_near, "doc_id long, text_key long, entity long, term string").distinct()
-    own = near.join(pairs.select("entity", "term"), ["entity", "term"]).groupBy(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).agg(F.collect_set(F.struct("entity", "term")).alias("own"))
-    joined = keyed.join(own, keyed["doc_id"].eqNullSafe(own["own_id"]) & (keyed["text_key"] == own["own_key"]), "left").select("doc_id", "text", "own", *["row"] * carry)
-    return joined.mapInArrow(_spans(None, clean), kind)
+    unknown = F.lit(None).cast("array<long>").alias("own")
+    if pairs.count() <= BROADCAST_PAIRS:
+        held = spark.sparkContext.broadcast(np.unique(pairs.toArrow()["pair"].to_numpy()))
+        return given.select("doc_id", "text", unknown, *["row"] * carry).mapInArrow(_spans(held, clean), kind)
+    plain = given.mapInArrow(_those(False), given.schema).select("doc_id", "text", unknown, *["row"] * carry)
+    keyed = given.mapInArrow(_those(True), given.schema).withColumn("text_key", F.xxhash64("text"))
+    near = keyed.select("text", "text_key").mapInArrow(_near, "text_key long, pair long").distinct()
+    own = near.join(pairs.distinct(), "pair").groupBy("text_key").agg(F.collect_set("pair").alias("own"))
+    joined = keyed.join(own, "text_key", "left").select("doc_id", "text", "own", *["row"] * carry)
+    return plain.union(joined).mapInArrow(_spans(None, clean), kind)
+
+
+def _those(with_spans: bool):
+    """The rows whose texts have base spans, or the others."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([bool(base_spans(t)) == with_spans for t in batch.column(1).to_pylist()], pa.bool_()))
+
+    return run
 
 
 def _near(batches):
     for batch in batches:
-        out = [(d, k, e, t) for d, text, k in zip(*[c.to_pylist() for c in batch.columns]) if (s := base_spans(text)) for e, t, _, _ in near_terms(text, s)]
-        cols = list(zip(*out)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i == 3 else pa.int64()) for i, c in enumerate(cols)], ["doc_id", "text_key", "entity", "term"])
+        out = [(k, pair_key(e, t)) for text, k in zip(*[c.to_pylist() for c in batch.columns]) for e, t, _, _ in near_terms(text, base_spans(text))]
+        keys = np.array([x[1] for x in out], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array(keys, pa.int64())], ["text_key", "pair"])
 
 
 def cleaned(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -217,12 +248,15 @@ def _spans(held, clean: bool):
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            own = [held.value] * len(texts) if held else [{(x["entity"], x["term"]) for x in o or ()} for o in batch.column(2).to_pylist()]
+            own = batch.column(2).to_pylist()
             found = []
             for text, pairs in zip(texts, own):
                 spans = base_spans(text)
-                if spans and pairs:
-                    spans = spans + [("term", a, b) for a, b in sorted({(a, b) for e, t, a, b in near_terms(text, spans) if (e, t) in pairs})]
+                known = held.value if held else np.unique(np.array(pairs or [], np.int64))
+                if spans and len(known):
+                    terms = list(near_terms(text, spans))
+                    keys = np.array([pair_key(e, t) for e, t, _, _ in terms], np.uint64).view(np.int64)
+                    spans = spans + [("term", a, b) for a, b in sorted({terms[i][2:] for i in np.flatnonzero(find_in(known, keys)[1])})]
                 found.append(spans)
             cols = [batch.column(0), pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in found], kind)]
             if clean:

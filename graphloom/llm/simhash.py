@@ -18,28 +18,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, stored
+from .common import attach, id_and_text, map_batches, stored
 
 #: members of a key above which it is refined, and of a refined key above which neighbours are looked up
 CROWDED = 1024
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> bytes:
-    """Eight bytes: the bits set in over half of the shingles' XXH64."""
-    found = text.encode().lower().split()
-    if not found:
-        return bytes(8)
+def shingle_hashes(found: list[bytes], words: int, seed: int = 42) -> bytes:
+    """XXH64 (big-endian) of each shingle of lower-case words, repeats included; of the whole sequence if there are fewer."""
     line = b" ".join(found)
     if len(found) <= words:
-        digests = xxhash.xxh64_digest(line, seed)
-    else:
-        ends = [e - 1 for e in accumulate(len(w) + 1 for w in found)]
-        starts = [0, *[e + 1 for e in ends]]
-        digests = b"".join(map(xxhash.xxh64_digest, [line[a:b] for a, b in zip(starts, ends[words - 1 :])], repeat(seed)))
+        return xxhash.xxh64_digest(line, seed)
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in found)]
+    starts = [0, *[e + 1 for e in ends]]
+    return b"".join(map(xxhash.xxh64_digest, [line[a:b] for a, b in zip(starts, ends[words - 1 :])], repeat(seed)))
+
+
+def majority(digests: bytes) -> bytes:
+    """Eight bytes: the bits set in over half of the hashes."""
     bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
     return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes()
 
 
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> bytes:
+    """The bits set in over half of the shingles' XXH64; zero without words."""
+    found = text.encode().lower().split()
+    return majority(shingle_hashes(found, words, seed)) if found else bytes(8)
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (a signed long with the fingerprint's bits) of every whole text."""
 
@@ -96,18 +102,23 @@ def forest_links(fps: np.ndarray, bits: int = 3) -> list[tuple[int, int]]:
 
 
 def _by_runs(crowded: int | None):
-    """A function over batches sorted by key: links within each key's members, or the members if there are too many."""
+    """A function over batches sorted by key: links within each key's members, or the members if there are too many.
+
+    Members of a key beyond ``crowded`` are handed on as they come, so no key is held whole.
+    """
 
     def run(batches):
-        key_kept, kept = None, []
+        key_kept, kept, held, over = None, [], 0, False
 
         def flush(out: list):
-            fps = np.unique(np.concatenate(kept)) if len(kept) > 1 else np.unique(kept[0])
-            if len(fps) < 2:
+            if not kept:
                 return
-            if crowded and len(fps) > crowded:
+            fps = np.unique(np.concatenate(kept)) if len(kept) > 1 else np.unique(kept[0])
+            if over or (crowded and len(fps) > crowded):
                 out += [(f, f, key_kept) for f in fps.astype(np.int64).tolist()]
                 return
+            if len(fps) < 2:
+                return
             signed = fps.astype(np.int64)
             out += [(int(signed[i]), int(signed[j]), None) for i, j in forest_links(fps)]
 
@@ -126,11 +137,15 @@ def _by_runs(crowded: int | None):
             fp = fp.astype(np.int64).view(np.uint64)
             for r in wanted:
                 part, this = fp[cuts[r] : cuts[r + 1]], int(key[cuts[r]])
-                if kept and key_kept != this:
+                if key_kept != this:
                     flush(out)
-                    kept = []
-                key_kept = this
+                    key_kept, kept, held, over = this, [], 0, False
                 kept.append(part)
+                held += len(part)
+                if crowded and held > 4 * crowded:
+                    over = True  # fingerprints are distinct, and so are a key's rows
+                    flush(out)
+                    kept, held = [], 0
             yield table(out)
         if kept:
             flush(out := [])
@@ -197,9 +212,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     a row with an id is reachable); other columns are not read.
     """
     rows = stored(fingerprints(docs, words, id_col, text_col), "simhash")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
     found = components(links(nodes.select("fp")))
-    at = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    roots = at.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = at.select("fp", "root").join(roots, "root").select(F.col("fp").alias("node_fp"), "component_id")
-    return rows.join(classes, rows["fp"] == classes["node_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    at = stored(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"), "simhash-roots")
+    roots = stored(at.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("fps")), "simhash-components")
+    classes = stored(attach(at, roots, ["root"], n="fps").select("fp", "n", "component_id"), "simhash-classes")
+    return attach(rows, classes, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

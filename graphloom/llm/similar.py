@@ -1,22 +1,22 @@
-"""Near-duplicates by the share of word shingles that two texts have in common.
+"""Near-duplicates by the share of word shingles that two texts have in common: SimHash with an exact check.
 
-Candidates share a band of MinHash values; bands are so many that a pair at the least similarity is missed
-with a chance below 1 in 10,000.  All candidates that hang together meet in one task with their
-texts (which take less disk than hashes of all shingles), where each link is checked by its exact share (Jaccard) before it counts.
+Candidates are the links of the SimHash operator, with fingerprints of shingles of the wanted length, and
+besides texts that share a band of MinHash values: at a share of 0.8 two fingerprints differ in about ten of 64 bits,
+so an index of at most three finds under one in a hundred such pairs, and an index of more bits would look at
+most of all pairs.  Bands are so many that a pair at 0.8 is missed with a chance below 1 in 10,000.  All candidates that hang
+together meet in one task with their texts, where each link is checked by its exact share (Jaccard) before it counts.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate, repeat
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches, stored
-from .simhash import components
+from .common import attach, id_and_text, map_batches, stored
+from .simhash import components, links, majority, shingle_hashes
 
 #: a pair at 0.8 meets in no band with a chance of (1 - 0.8 ** ROWS) ** BANDS = 0.00006
 BANDS, ROWS = 32, 6
@@ -28,17 +28,11 @@ _MIX, _ODD = (_RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) for _ in ran
 _ODD |= np.uint64(1)
 
 
-def shingles(text: str, words: int = 5, seed: int = 42) -> tuple[int, np.ndarray]:
-    """XXH64 of the words, and the distinct XXH64 of their shingles in order (one shingle if there are too few words)."""
+def shingles(text: str, words: int = 5) -> tuple[int, bytes, np.ndarray]:
+    """XXH64 of the words, the fingerprint, and the distinct XXH64 of their shingles in order (one shingle if there are too few words)."""
     found = text.encode().lower().split()
-    line = b" ".join(found)
-    if len(found) <= words:
-        digests = xxhash.xxh64_digest(line, seed)
-    else:
-        ends = [e - 1 for e in accumulate(len(w) + 1 for w in found)]
-        starts = [0, *[e + 1 for e in ends]]
-        digests = b"".join(map(xxhash.xxh64_digest, [line[a:b] for a, b in zip(starts, ends[words - 1 :])], repeat(seed)))
-    return xxhash.xxh64_intdigest(line, seed + 1), np.unique(np.frombuffer(digests, ">u8").astype("<u8"))
+    digests = shingle_hashes(found, words)
+    return xxhash.xxh64_intdigest(b" ".join(found), 43), majority(digests) if found else bytes(8), np.unique(np.frombuffer(digests, ">u8").astype("<u8"))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -81,15 +75,17 @@ def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]
 
 
 def _rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, node, keys, text`` of every text; equal words have equal nodes."""
+    """``doc_id, raw, node, fp, keys, text`` of every text; equal words have equal nodes, equal texts equal hashes ``raw``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t, words) for t in batch.column(1).to_pylist()]
-        nodes = pa.array(np.array([n for n, _ in found], "u8").view("i8"))
-        keys = pa.array([band_keys(h) for _, h in found], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), nodes, keys, batch.column(1)], ["doc_id", "node", "keys", "text"])
+        nodes = pa.array(np.array([n for n, _, _ in found], "u8").view("i8"))
+        fps = pa.array(np.frombuffer(b"".join(f for _, f, _ in found), ">i8").astype("<i8"))
+        keys = pa.array([band_keys(h) for _, _, h in found], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nodes, fps, keys, batch.column(1)], ["doc_id", "raw", "node", "fp", "keys", "text"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, node long, keys array<long>, text string")
+    given = id_and_text(docs, id_col, text_col).withColumn("raw", F.xxhash64("text"))
+    return map_batches(given, run, "doc_id long, raw long, node long, fp long, keys array<long>, text string")
 
 
 def _meetings(batches):
@@ -122,31 +118,66 @@ def _verified(words: int, least: float):
                     yield flush()
                     last, nodes, sets = root, [], []
                 nodes.append(node)
-                sets.append(shingles(text, words)[1])
+                sets.append(shingles(text, words)[2])
         yield flush()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of every row.
+def _fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """``a, b``: nodes whose fingerprints differ in at most three bits, as far as it takes to connect them all."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")), "similar-fingerprints")
+    equal = attach(nodes.select("fp", "node"), heads, ["fp"]).select(F.col("node").alias("a"), F.col("head").alias("b"))
+    found = links(heads.select("fp"))
+    ends = [heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_head")) for x in "ab"]
+    near = found.join(ends[0], "a").join(ends[1], "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    return equal.union(near).where("a <> b")
 
-    Links join texts that have a share of ``least`` or more of their distinct shingles in common (of all
-    that either has); ``component_id`` is the smallest ``doc_id`` reachable.  Case of ASCII letters and white space
-    do not count.  Null and empty texts are equal; a text of up to ``words`` words is one shingle; an empty
-    table gives no rows; rows with a null id are returned, but name no component; other columns are not read.
-    """
+
+def _classes(docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (:func:`_rows`), and ``node, root, n`` of each distinct text: equal roots are linked; ``n`` rows have the text."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(_rows(docs, words, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "similar")
     # equal texts are one node, with one row to stand for it
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.min("keys").alias("keys")), "similar-nodes")
-    bands = nodes.select(F.explode("keys").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
-    met = components(bands.mapInArrow(_meetings, "a long, b long").distinct())
+    nodes = stored(rows.groupBy("node").agg(F.min("row").alias("row"), F.min("fp").alias("fp"), F.count("*").alias("n")), "similar-nodes")
+    keys = rows.select("row", "node", "keys").join(nodes.select("row"), "row", "left_semi")
+    bands = keys.select(F.explode("keys").alias("key"), "node").repartition(parts, "key").sortWithinPartitions("key", "node")
+    met = components(bands.mapInArrow(_meetings, "a long, b long").union(_fingerprint_links(nodes)).distinct())
     met = met.unionByName(met.select(F.col("root").alias("node"), "root")).distinct()
     asked = nodes.select("node", "row").join(met, "node").select("row", "root", "node")
     sets = asked.join(rows.select("row", "text"), "row").select("root", "node", "text").repartition(parts, "root").sortWithinPartitions("root", "node")
     found = components(sets.mapInArrow(_verified(words, least), "a long, b long"))
-    at = nodes.select("node", "least").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    roots = at.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = at.select("node", "root").join(roots, "root").select("node", "component_id")
-    return rows.select("doc_id", "node").join(classes, "node").select("doc_id", "component_id")
+    return rows, stored(nodes.select("node", "n").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n"), "similar-roots")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of every row.
+
+    Links join texts that have a share of ``least`` or more of their distinct shingles in common (of all
+    that either has); ``component_id`` is the smallest ``doc_id`` reachable.  Case of ASCII letters and white space
+    do not count.  Null and empty texts are equal; a text of up to ``words`` words is one shingle; an empty
+    table gives no rows; rows with a null id are returned, but name no component; other columns are not read.
+    """
+    rows, classes = _classes(docs, words, least, id_col, text_col)
+    at = attach(rows.select("doc_id", "node"), classes, ["node"]).select("doc_id", "root")
+    roots = stored(at.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "similar-components")
+    return attach(at, roots, ["root"]).select("doc_id", "component_id")
+
+
+def distinct_texts(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs``, with all its columns, of each group that :func:`near_duplicates` links.
+
+    It is the row with the smallest id; rows without an id stay only where their group has none with one.  Rows are told apart by id and text, so of
+    different texts under one id (or without one) each is judged by itself, and of repeated rows one stays, any one where only other
+    columns differ.  Null texts are one group with empty ones; an empty table gives no rows.
+    """
+    own = lambda c: F.coalesce(c.cast("long"), F.lit(2**63 - 1))
+    rows, classes = _classes(docs, words, least, id_col, text_col)
+    at = attach(rows.select(own(F.col("doc_id")).alias("own"), "raw", "node"), classes, ["node"]).select("own", "raw", "root")
+    first = stored(at.groupBy("root").agg(F.min("own").alias("own"), F.count("*").alias("n")), "similar-first")
+    # of several texts of the group under that id, the one with the least hash
+    stay = attach(at, first.withColumnRenamed("own", "first"), ["root"]).where("own = first").groupBy("root", "own").agg(F.min("raw").alias("raw")).select("own", "raw")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.struct(*columns).alias("row"), own(docs[id_col]).alias("own"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("raw"))
+    one = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("own", "raw").orderBy(F.lit(0)))).where("copy = 1")
+    return one.join(stay, ["own", "raw"], "left_semi").select(*[F.col(f"row.`{c}`") for c in docs.columns])

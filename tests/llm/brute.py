@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import re
+import unicodedata
 
 import xxhash
 
@@ -15,6 +16,20 @@ def words(text) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def letters(text) -> list[str]:
+    """Lower-case words of letters and their marks."""
+    out, word = [], ""
+    for chunk in (text or "").split():
+        for ch in chunk.lower() + " ":
+            kind = unicodedata.category(ch)[0]
+            if kind == "L" or (word and kind == "M"):
+                word += ch
+            else:
+                out += [word] * bool(word)
+                word = ""
+    return out
+
+
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -102,7 +117,7 @@ def hits(text, items: list[tuple[str, str]], window: int = 10):
             names.append(name)
         for i in found:
             hit[i : i + k] = [True] * k
-    return len(w), sum(hit), sorted(names), hit
+    return len(w), sum(hit), sorted(set(names)), hit
 
 
 def personal(text) -> list[tuple[str, int, int]]:
