@@ -159,8 +159,11 @@ def _count(batches):
     yield from spill(words)
 
 
-def _write(path: str, langs: list[str], totals: dict[int, tuple[list[float], int]]):
-    """Over rows sorted by shard and unsigned hash: the shard's arrays."""
+def _write(path: str, langs: list[str], totals: dict[int, list[int]]):
+    """Over rows sorted by shard and unsigned hash: the shard's arrays.
+
+    A language's frequency is smoothed by the same amount for all of them, so that rare words do not point to languages with little text.
+    """
 
     def run(batches):
         shard, parts = None, []
@@ -168,9 +171,9 @@ def _write(path: str, langs: list[str], totals: dict[int, tuple[list[float], int
         def flush():
             h, n, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
             rows = np.empty(c.shape, "f4")
-            for order, (total, entries) in totals.items():
+            for order, total in totals.items():
                 own = n == order
-                rows[own] = np.log((c[own] + 0.5) / (np.array(total) + 0.5 * (entries + 1)))
+                rows[own] = np.log(c[own] / np.maximum(total, 1) + 0.5 / sum(total))
             put(f"{path}/hash-{shard}", h.view(np.uint64))
             put(f"{path}/rows-{shard}", rows)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], ["shard"])
@@ -212,7 +215,7 @@ def train(labelled: DataFrame, train_rows: int = 20_000) -> Model:
     langs = sorted({r["lang"] for r in by_order})
     if not langs:
         return Model(path, [], 0, frozenset())
-    totals = {k: ([sum(r["c"] for r in by_order if (r["n"], r["lang"]) == (k, x)) for x in langs], entries[k]) for k in entries}
+    totals = {k: [sum(r["c"] for r in by_order if (r["n"], r["lang"]) == (k, x)) for x in langs] for k in entries}
     bits = max(0, (sum(entries.values()) // SHARD_ENTRIES).bit_length())
     by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "c")))
     rows = counts.groupBy("n", "h").agg(by_lang.alias("by"))

@@ -124,7 +124,8 @@ def test_language_scores(spark, docs):
                 counts[n, lang].update(langid.grams(w, n))
     langs = sorted({x for _, x in counts})
     every = {n: {k for (m, _), c in counts.items() if m == n for k in c} for n in (0, *langid.ORDERS)}
-    logs = lambda n, k: np.array([math.log((counts[n, x][k] + 0.5) / (sum(counts[n, x].values()) + 0.5 * (len(every[n]) + 1))) for x in langs])
+    totals = {n: [sum(counts[n, x].values()) for x in langs] for n in every}
+    logs = lambda n, k: np.array([math.log(counts[n, x][k] / max(t, 1) + 0.5 / sum(totals[n])) for x, t in zip(langs, totals[n])])
 
     def word(w):
         for n, keys in [(0, [w]), *[(n, langid.grams(w, n)) for n in langid.ORDERS]]:
