@@ -20,10 +20,10 @@ SHINGLE_WORDS, LEAST_SIMILARITY = 5, 0.8
 
 
 def _with_text(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """The carried rows with their cleaned texts, in the columns of ``docs``; a null text, and its length, stay."""
+    """The carried rows with their cleaned texts, in the columns of ``docs``; rows whose text is null or unchanged stay as they are."""
     made = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text")}
     kinds = {f.name: f.dataType for f in docs.schema}
-    return found.select(*[F.when(F.col("row.text").isNull(), F.col(f"row.{c}")).otherwise(made[c].cast(kinds[c])).alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return found.select(*[F.when(F.col("row.text").isNull() | (F.col("row.text") == F.col("clean_text")), F.col(f"row.{c}")).otherwise(made[c].cast(kinds[c])).alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
