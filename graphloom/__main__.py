@@ -9,12 +9,13 @@ import sys
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="graphloom", description="Index a workspace, query a graph, watch a stream of changes.")
-    p.add_argument("--store", default="file:///tmp/graphloom", help="folder or URI of the stored graphs")
+    p.add_argument("--store", help="folder or URI of the stored graphs (default: graphloom in the warehouse)")
     p.add_argument("--graph", default="cpg", help="name of the graph")
     sub = p.add_subparsers(dest="command", required=True)
     index = sub.add_parser("index", help="scan a folder, extract declarations and write them")
     index.add_argument("root")
     index.add_argument("--exclude", action="append", default=[], help="further patterns to leave out")
+    index.add_argument("--config", help="JSON file with include, exclude, excludeExtra and maxBytes")
     index.add_argument("--dry-run", action="store_true", help="only count")
     query = sub.add_parser("query", help="run a reading query")
     query.add_argument("text")
@@ -53,15 +54,16 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     from .cypher import CypherError, explain, run
-    from .operators.write import Store
+    from .operators.write import open_store
     from .sources import outputs, workspace
     from .streaming import changes
 
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
-    store = Store(spark, given.store, given.graph)
     try:
+        store = open_store(spark, given.store or f"{spark.conf.get('spark.sql.warehouse.dir')}/graphloom", given.graph, bootstrap=False)
         if given.command == "index":
-            scope = workspace.define_scope(exclude_extra=tuple(given.exclude))
+            scope = workspace.scope_from(given.config) if given.config else workspace.Scope()
+            scope = workspace.define_scope(scope.include, scope.exclude, tuple(given.exclude), scope.max_bytes)
             if given.dry_run:
                 found = workspace.walk(given.root, scope)
                 print(json.dumps({"files": len(found.files), "directories": len(found.directories), "stats": found.counts}, sort_keys=True))

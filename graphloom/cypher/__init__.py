@@ -1,6 +1,6 @@
 """A subset of Cypher, compiled to DataFrame plans."""
 
-from .compiler import explain, run
+from .compiler import explain, run, scalar
 from .parser import CypherError, ReadOnlyError, parse
 
-__all__ = ["CypherError", "ReadOnlyError", "explain", "parse", "run"]
+__all__ = ["CypherError", "ReadOnlyError", "explain", "parse", "run", "scalar"]

@@ -13,6 +13,7 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,6 @@ from ..operators.iterate import checkpointed
 from . import parser as P
 from .parser import CypherError
 
-#: hops after which the enumeration of unbounded paths gives up loudly
-HOP_CAP = 12
-
 
 @dataclass
 class Var:
@@ -307,21 +305,19 @@ class Compiler:
         return (now if seen is None else seen).select(*keys, *pairs)
 
     def trails(self, starts: DataFrame, edges: DataFrame, low: int, high: int | None) -> DataFrame:
-        """Every path without a repeated edge, with its nodes."""
+        """Every path without a repeated edge, with its nodes; without a bound until no path can be made longer."""
         def node(key, label):
             return F.struct(F.col(label).alias("label"), F.col(key).alias("key"))
 
         now = starts.select("s_key", "s_label", F.col("s_key").alias("far"), F.col("s_label").alias("far_label"), F.array(node("s_key", "s_label")).alias("nodes"), F.array().cast("array<long>").alias("ids"))
         out = [now] if low == 0 else []
-        for hops in range(1, (high or HOP_CAP + 1) + 1):
+        for hops in count(1) if high is None else range(1, high + 1):
             now = now.join(edges, (F.col("far") == F.col("e_near")) & (F.col("far_label") == F.col("e_near_label")) & ~F.array_contains("ids", F.col("e_id")))
             now = now.select("s_key", "s_label", F.col("e_far").alias("far"), F.col("e_far_label").alias("far_label"), F.concat("nodes", F.array(node("e_far", "e_far_label"))).alias("nodes"), F.concat("ids", F.array("e_id")).alias("ids"))
             if high is None or hops > 3:
                 now = checkpointed(now)
                 if now.isEmpty():
                     break
-                if high is None and hops > HOP_CAP:
-                    raise CypherError(f"a path without a bound is longer than {HOP_CAP} edges; bound it or ask for distinct ends")
             if hops >= low:
                 out.append(now)
         return reduce(DataFrame.unionByName, out or [now.limit(0)]).drop("ids")
@@ -652,3 +648,9 @@ def explain(graph: Graph, spark: SparkSession, query: str, params: dict | None =
     """The plan's text; the query itself is not run (frontier loops are)."""
     df = run(graph, spark, query, params)
     return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+
+def scalar(graph: Graph, spark: SparkSession, query: str, params: dict | None = None):
+    """The first column of the first row; 0 if there is none."""
+    row = run(graph, spark, query, params).first()
+    return 0 if row is None else row[0]

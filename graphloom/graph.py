@@ -6,18 +6,30 @@ type within the graph (long or string); edges hold both ends' keys, so an edge a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
-class Nodes:
-    """The nodes of one label: a DataFrame, the column of their key, and the labels that all of them carry."""
+class _Table:
+    """Rows that are given, or made when they are first wanted."""
+
+    rows: DataFrame | Callable[[], DataFrame]
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.rows if isinstance(self.rows, DataFrame) else self.rows()
+
+
+@dataclass(eq=False)
+class Nodes(_Table):
+    """The nodes of one label: a DataFrame (or a function that gives it), the column of their key, and the labels that all of them carry."""
 
     label: str
-    df: DataFrame
+    rows: DataFrame | Callable[[], DataFrame]
     key: str
     extra: tuple[str, ...] = ()
 
@@ -30,12 +42,12 @@ class Nodes:
         return self.df.columns
 
 
-@dataclass(frozen=True)
-class Edges:
+@dataclass(eq=False)
+class Edges(_Table):
     """The edges of one type between two labels.  ``id`` names a column (or several) that tells edges apart."""
 
     type: str
-    df: DataFrame
+    rows: DataFrame | Callable[[], DataFrame]
     source: str
     target: str
     source_key: str

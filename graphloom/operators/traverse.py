@@ -59,9 +59,57 @@ def dead(nodes: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(reachable(entries, edges), "node", "left_anti").join(entries.select("node"), "node", "left_anti")
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges that are left when nodes without an edge into or out of them go, and so on."""
+    now, n = checkpointed(edges), None
+    while n != (n := now.count()):
+        into, out = now.select(F.col("dst").alias("src")).distinct(), now.select(F.col("src").alias("dst")).distinct()
+        now = checkpointed(now.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+    return now
+
+
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each node's greatest label among those of the nodes that lead to it; only what changed goes on."""
+    now = front = labels
+    while True:
+        told = front.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("told"))
+        new = checkpointed(now.join(told, "node", "left").select("node", F.greatest("label", F.coalesce("told", "label")).alias("label"), (F.col("told") > F.col("label")).alias("moved")))
+        front, now = new.where("moved").select("node", "label"), new.select("node", "label")
+        if front.isEmpty():
+            return now
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, component``: the nodes on cycles, by the greatest node of their strongly connected component.
+
+    What leads into no cycle or comes from none is trimmed; then, by turns, each node is coloured by the greatest node that
+    leads to it, and the nodes of a colour that lead back to that node are its component.  Work is linear in the
+    edges for each round, and pairs of nodes are never listed.
+    """
+    step = edges.select("src", "dst").distinct()
+    own = checkpointed(step.where("src = dst").select(F.col("src").alias("node")))
+    left, found = _trimmed(step.where("src <> dst")), None
+    while not left.isEmpty():
+        nodes = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
+        colour = _spread(nodes.withColumn("label", F.col("node")), left)
+        at, to = colour.toDF("src", "colour"), colour.toDF("dst", "to_colour")
+        same = checkpointed(left.join(at, "src").join(to, "dst").where("colour = to_colour").select("src", "dst"))
+        roots = colour.where("node = label").select("node")
+        back = reachable(roots, reverse(same)).unionByName(roots).distinct()
+        part = checkpointed(back.join(colour, "node").select("node", F.col("label").alias("component")))
+        found = part if found is None else found.unionByName(part)
+        rest = left.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = _trimmed(rest.select("src", "dst"))
+    alone = own.select("node", F.col("node").alias("component"))
+    if found is None:
+        return alone
+    many = found.join(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "component", "left_semi").select("node", "component")
+    return many.unionByName(alone.join(many, "node", "left_anti"))
+
+
 def loops(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle."""
-    return closure(edges).where("src = dst").select(F.col("src").alias("node"))
+    return strong_components(edges).select("node")
 
 
 def dependents(changed: DataFrame, imports: DataFrame) -> DataFrame:
@@ -76,15 +124,21 @@ def subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def canonical(aliases: DataFrame) -> DataFrame:
-    """``node, root``: the end of each chain of aliases (``src`` is an alias of ``dst``), by pointer jumping; of several targets the smallest counts."""
-    now = checkpointed(aliases.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("root")))
-    for _ in range(40):
-        jump = now.join(now.select(F.col("node").alias("root"), F.col("root").alias("far")), "root", "left")
-        new = checkpointed(jump.select("node", F.coalesce("far", "root").alias("root"), (F.col("far").isNotNull() & (F.col("far") != F.col("root")) & (F.col("far") != F.col("node"))).alias("moved")))
-        if not new.agg(F.max("moved")).first()[0]:
-            break
-        now = new.select("node", "root")
-    return now
+    """``node, root``: the end of each chain of aliases (``src`` is an alias of ``dst``), by pointer jumping; of several targets the smallest counts.
+
+    Aliases that lead into a circle have its smallest node as their root.
+    """
+    now = checkpointed(aliases.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("root"), F.min("dst").alias("least")))
+    rounds = now.count().bit_length() + 1  # each doubles the way gone; longer ones go in a circle
+    for _ in range(rounds):
+        far = now.select(F.col("node").alias("root"), F.col("root").alias("far"), F.col("least").alias("far_least"))
+        now = checkpointed(now.join(far, "root", "left").select("node", F.coalesce("far", "root").alias("root"), F.least("least", "far_least").alias("least"), F.col("far").isNotNull().alias("moved")))
+        moved = now.where("moved")
+        now = now.drop("moved")
+        if moved.isEmpty():
+            return now.select("node", "root")
+    circle = now.select(F.col("node").alias("root"), F.col("least").alias("end"))
+    return now.select("node", "root").join(circle, "root", "left").select("node", F.coalesce("end", "root").alias("root"))
 
 
 def targets(calls: DataFrame, defines: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -103,19 +157,24 @@ def rollup(pairs: DataFrame, files: DataFrame) -> DataFrame:
     return pairs.join(a, "call").join(b, "definition").where("src <> dst").select("src", "dst").distinct()
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``node, community`` by synchronous label propagation over undirected edges; ties go to the smaller label."""
+def communities(edges: DataFrame) -> DataFrame:
+    """``node, community`` by synchronous label propagation over undirected edges, until nothing changes; ties go to the smaller label.
+
+    Such a propagation comes to rest or alternates between two states (edges have no direction); of two the smaller label is taken.
+    """
     both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
     both = checkpointed(both.toDF("src", "dst"))
     now = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
-    for _ in range(rounds):
+    before = None
+    while True:
         votes = both.join(now, F.col("dst") == F.col("node")).groupBy("src", "community").agg(F.count("*").alias("n"))
         best = votes.groupBy("src").agg(F.min_by("community", F.struct(-F.col("n"), F.col("community"))).alias("c"))
         new = checkpointed(best.select(F.col("src").alias("node"), F.col("c").alias("community")))
         if new.join(now, ["node", "community"], "left_anti").isEmpty():
-            break
-        now = new
-    return now
+            return new
+        if before is not None and new.join(before, ["node", "community"], "left_anti").isEmpty():
+            return new.join(now.withColumnRenamed("community", "other"), "node").select("node", F.least("community", "other").alias("community"))
+        before, now = now, new
 
 
 def community_summary(members: DataFrame, edges: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:

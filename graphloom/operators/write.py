@@ -46,6 +46,13 @@ def scope_delete(nodes: DataFrame, edges: DataFrame, file: str) -> tuple[DataFra
     return remove_nodes(nodes, edges, F.col("file") == file)
 
 
+def replace_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``files`` (``path``) own goes, as by :func:`scope_delete` of each, and the new rows come; so doing it twice changes nothing."""
+    owned = nodes.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi").select(nodes.columns)
+    left = nodes.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_anti").select(nodes.columns)
+    return create_nodes(left, new_nodes), without_ends(edges, owned).unionByName(new_edges.select(edges.columns))
+
+
 def create_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows are added as they are, duplicates too."""
     return nodes.unionByName(rows.select(nodes.columns))
@@ -56,16 +63,16 @@ def _pruned(props) -> Column:
 
 
 def _last_values(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """For each key the properties of its rows, of each property the last value that is not null."""
+    """For each key the properties of its rows, of each property the last value that is not null (of equal ``order`` the greatest value)."""
     one = rows.select(*keys, order, F.explode_outer(_pruned("props")).alias("name", "value"))
-    one = one.groupBy(*keys, "name").agg(F.max_by("value", order).alias("value"))
+    one = one.groupBy(*keys, "name").agg(F.max_by("value", F.struct(order, "value")).alias("value"))
     return one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value")))).alias("new"))
 
 
 def merge_nodes(nodes: DataFrame, rows: DataFrame, order: str = "seq") -> DataFrame:
     """Upsert on label and key: present properties replace, absent and null ones never erase; later rows win."""
     new = _last_values(rows, ["label", "key"], order)
-    files = rows.groupBy("label", "key").agg(F.max_by("file", order).alias("new_file"))
+    files = rows.groupBy("label", "key").agg(F.max_by("file", F.struct(order, "file")).alias("new_file"))
     both = nodes.join(new.join(files, ["label", "key"]), ["label", "key"], "full_outer")
     props = F.map_zip_with(F.coalesce("props", F.create_map().cast("map<string,string>")), F.coalesce("new", F.create_map().cast("map<string,string>")), lambda _, old, now: F.coalesce(now, old))
     return both.select("label", "key", F.coalesce("new_file", "file").alias("file"), props.alias("props"))
@@ -142,6 +149,11 @@ def apply_plan(nodes: DataFrame, edges: DataFrame, steps: list[Step]) -> tuple[D
     return nodes, edges
 
 
+def chunk_of(order: Column, rows: int = 5000) -> Column:
+    """The number of the chunk that a row's place (from 0) falls into."""
+    return F.floor(order / rows).cast("long")
+
+
 # The file system
 
 
@@ -242,6 +254,23 @@ def replace_file(nodes: DataFrame, edges: DataFrame, file: str, new_nodes: DataF
     return create_nodes(nodes, new_nodes), edges.unionByName(new_edges.select(edges.columns))
 
 
+def remove_keys(nodes: DataFrame, edges: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of some keys (``key``) go, with the edges at them; one anti join, however many they are."""
+    gone = nodes.join(keys.select("key").distinct(), "key", "left_semi").select(nodes.columns)
+    return nodes.join(keys.select("key").distinct(), "key", "left_anti").select(nodes.columns), without_ends(edges, gone)
+
+
+def clear(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nothing is left but the graph's metadata."""
+    return nodes.where("label = 'META_DATA'"), edges.where("false")
+
+
+def contained(nodes: DataFrame, old: str, new: str) -> DataFrame:
+    """``from_key, to_key`` of CONTAINS edges below a moved folder: each file or directory with its parent, by their new paths."""
+    own = nodes.where(F.col("label").isin("FILE", "DIRECTORY") & inside("key", old)).select(moved_path("key", old, new).alias("to_key"))
+    return own.select(F.regexp_replace("to_key", "/[^/]*$", "").alias("from_key"), "to_key").where("from_key <> to_key")
+
+
 def soft_delete(nodes: DataFrame, which: Column, at: float) -> DataFrame:
     marked = F.map_concat(F.map_filter("props", lambda k, _: k != "isSoftDeleted"), F.create_map(F.lit("isSoftDeleted"), F.lit(str(at))))
     return nodes.withColumn("props", F.when(which, marked).otherwise(F.col("props")))
@@ -277,8 +306,31 @@ def update_incrementally(nodes: DataFrame, edges: DataFrame, removed: DataFrame,
 # Stored graphs
 
 
+#: parts of a stored graph that are rewritten by themselves
+BUCKETS = 16
+
+
+def bucket(own: Column) -> Column:
+    return F.pmod(F.xxhash64(own), F.lit(BUCKETS)).cast("int")
+
+
+def node_bucket() -> Column:
+    """Nodes that a file owns lie together."""
+    return bucket(F.coalesce("file", "key"))
+
+
+def edge_bucket() -> Column:
+    """Edges lie with the file (or key) that they start in: keys of nodes that a file owns begin with its path."""
+    file = F.regexp_extract("from_key", r"^(.*?):[A-Z_]+:", 1)
+    return bucket(F.when(file != "", file).otherwise(F.col("from_key")))
+
+
 class Store:
-    """Named graphs as versions of their tables below a folder; a version becomes current when its pointer is written."""
+    """Named graphs as versions of their tables below a folder; a version becomes current when its manifest is written.
+
+    A version's manifest names, for each bucket of nodes and of edges, the folder that holds it; a change rewrites the buckets
+    that it touches and names the old folders for the others.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, graph: str = "graph"):
         self.spark, self.path = spark, f"{folder.rstrip('/')}/{graph}"
@@ -292,6 +344,17 @@ class Store:
         fs, p = self._fs(self.path)
         return sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(p) if f.getPath().getName().startswith("v") and fs.exists(self._fs(f"{f.getPath()}/_CURRENT")[1])) if fs.exists(p) else []
 
+    def _manifest(self) -> dict[str, dict[str, str]]:
+        versions = self._versions()
+        if not versions:
+            raise FileNotFoundError(self.path)
+        fs, p = self._fs(f"{self.path}/v{versions[-1]}/_CURRENT")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
     def bootstrap(self, version: int = VERSION) -> str:
         """``created``, ``matched`` or ``mismatch``; a mismatch is only told."""
         if not self._versions():
@@ -303,31 +366,84 @@ class Store:
         row = self.read()[0].where("label = 'META_DATA'").first()
         return dict(row["props"]) if row else {}
 
+    def configuration(self) -> dict:
+        """What the stored graph is made of: its schema version, metadata, buckets and versions."""
+        manifest = self._manifest()
+        return {"schema_version": VERSION, "metadata": self.metadata(), "buckets": {k: sorted(map(int, v)) for k, v in manifest.items()}, "versions": self._versions()}
+
+    def _read(self, part: str, buckets=None) -> DataFrame:
+        kind = NODE if part == "nodes" else EDGE
+        paths = sorted(f"{self.path}/{at}" for k, at in self._manifest()[part].items() if buckets is None or int(k) in buckets)
+        return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
+
     def read(self) -> tuple[DataFrame, DataFrame]:
+        return self._read("nodes"), self._read("edges")
+
+    def save(self, nodes: DataFrame | None, edges: DataFrame | None, touched: dict[str, set[int]] | None = None) -> int:
+        """Write the next version, then make it current; readers of the old one are not disturbed.
+
+        With ``touched`` the rows are those of the given buckets only; the other buckets stay as they are.
+        """
         versions = self._versions()
-        if not versions:
-            raise FileNotFoundError(self.path)
-        at = f"{self.path}/v{versions[-1]}"
-        return self.spark.read.schema(NODE).parquet(f"{at}/nodes"), self.spark.read.schema(EDGE).parquet(f"{at}/edges")
-
-    def save(self, nodes: DataFrame, edges: DataFrame) -> int:
-        """Write the next version, then make it current; readers of the old one are not disturbed."""
-        version = max(self._versions(), default=0) + 1
-        at = f"{self.path}/v{version}"
-        nodes.write.mode("overwrite").parquet(f"{at}/nodes")
-        edges.write.mode("overwrite").partitionBy().parquet(f"{at}/edges")
-        fs, p = self._fs(f"{at}/_CURRENT")
-        fs.create(p, True).close()
+        version = max(versions, default=0) + 1
+        manifest = self._manifest() if versions and touched is not None else {"nodes": {}, "edges": {}}
+        for part, rows, of in (("nodes", nodes, node_bucket()), ("edges", edges, edge_bucket())):
+            if touched is not None:
+                manifest[part] = {k: v for k, v in manifest[part].items() if int(k) not in touched[part]}
+                if not touched[part]:
+                    continue
+            at = f"v{version}/{part}"
+            rows.withColumn("bucket", of).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{at}")
+            fs, p = self._fs(f"{self.path}/{at}")
+            names = [f.getPath().getName() for f in fs.listStatus(p)]
+            manifest[part] |= {n.removeprefix("bucket="): f"{at}/{n}" for n in names if n.startswith("bucket=")}
+        fs, p = self._fs(f"{self.path}/v{version}/_CURRENT")
+        stream = fs.create(p, True)
+        stream.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
+        stream.close()
         return version
 
+    @staticmethod
+    def _buckets(rows: DataFrame, of: Column) -> set[int]:
+        return {r[0] for r in rows.select(of).distinct().collect()}  # no more than BUCKETS
+
+    def _change(self, files: DataFrame, nodes: list[Step], edges: list[Step]) -> int:
+        """Remove what ``files`` (``path``) own, then apply steps; only the buckets that this touches are read whole and written."""
+        old, links = self.read()
+        gone = old.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi").select("label", "key")
+        ends = [links.join(gone.select(F.col("label").alias(x), F.col("key").alias(y)).distinct(), [x, y], "left_semi").select("from_key") for x, y in ENDS]
+        at_gone = ends[0].union(ends[1])
+        touched = {"nodes": self._buckets(files.select(F.col("path").alias("file"), F.lit("").alias("key")), node_bucket()), "edges": self._buckets(at_gone, edge_bucket())}
+        for part, steps, of in (("nodes", nodes, node_bucket()), ("edges", edges, edge_bucket())):
+            for s in steps:
+                touched[part] |= self._buckets(s.rows, of)
+        own = self._read("nodes", touched["nodes"]).join(files.select(F.col("path").alias("file")).distinct(), "file", "left_anti").select("label", "key", "file", "props")
+        for s in nodes:
+            own = (create_nodes if s.kind == "create nodes" else merge_nodes)(own, s.rows)
+        every = own.select("label", "key").unionByName(self._read("nodes", set(range(BUCKETS)) - touched["nodes"]).select("label", "key"))
+        kept = without_ends(self._read("edges", touched["edges"]), gone)
+        for s in edges:
+            kept = (create_edges if s.kind == "create edges" else merge_edges)(every, kept, s.rows)
+        return self.save(own, kept, touched)
+
+    def _files(self, *paths: str) -> DataFrame:
+        return self.spark.createDataFrame([(p,) for p in paths], "path string")
+
     def write_delta(self, nodes: dict[str, DataFrame], edges: dict[str, DataFrame], file: str | None = None) -> dict:
         """The counts are those of the delta, not of its effects."""
         steps = plan_delta(nodes, edges, file)
-        self.save(*apply_plan(*self.read(), steps))
+        self._change(self._files(*[file] if file else []), [s for s in steps if s.kind.endswith("nodes")], [s for s in steps if s.kind.endswith("edges")])
         return report(nodes, edges, steps)
 
+    def replace_files(self, files: DataFrame, nodes: DataFrame, edges: DataFrame) -> int:
+        """What ``files`` (``path``) own is replaced by the given rows."""
+        return self._change(files, [Step("create nodes", "", nodes)], [Step("create edges", "", edges)])
+
     def delete_file(self, file: str) -> int:
-        return self.save(*scope_delete(*self.read(), file))
+        return self._change(self._files(file), [], [])
+
+    def clear(self) -> int:
+        return self.save(*clear(*self.read()))
 
     def write_filesystem(self, **changes) -> int:
         return self.save(*write_filesystem(*self.read(), **changes))
@@ -345,6 +461,20 @@ class Store:
         return {"labels": sorted(r[0] for r in nodes.select("label").distinct().collect()), "types": sorted(r[0] for r in edges.select("type").distinct().collect()), "indexes": list(INDEXES), "constraints": list(CONSTRAINTS)}
 
 
+#: Fixed value: graphs of this prefix belong to tests.
+TEST_PREFIX = "cpg_test_"
+
+
+def open_store(spark: SparkSession, folder: str, graph: str, bootstrap: bool = True) -> Store:
+    """A store for real data; a graph that belongs to tests is refused, whatever the settings."""
+    if graph.startswith(TEST_PREFIX):
+        raise ValueError(f"the prefix {TEST_PREFIX} is kept for tests: {graph}")
+    store = Store(spark, folder, graph)
+    if bootstrap:
+        store.bootstrap()
+    return store
+
+
 class NullStore:
     """Counts what would be written."""
 

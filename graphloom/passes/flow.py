@@ -134,43 +134,88 @@ def basic_blocks(steps: DataFrame, flow: DataFrame) -> DataFrame:
     return s.withColumn("first", first.cast("int")).withColumn("block", F.sum("first").over(w)).select("method", "id", "block")
 
 
-def _dominators(edges: list[tuple[str, str]], root: str) -> dict[str, set[str]]:
-    before, nodes = defaultdict(set), {root}
-    for a, b in edges:
-        before[b].add(a)
-        nodes |= {a, b}
-    dom = {n: {root} if n == root else set(nodes) for n in nodes}
+def _dominators(edges: list[tuple[str, str]], root: str) -> dict[str, str]:
+    """The immediate dominator of each node that the root leads to (but the root), by intersecting paths up the tree in reverse postorder."""
+    after, before = defaultdict(list), defaultdict(list)
+    for a, b in sorted(edges):
+        after[a].append(b)
+        before[b].append(a)
+    order, seen, todo = [], {root}, [(root, iter(after[root]))]
+    while todo:
+        n, rest = todo[-1]
+        if (m := next((x for x in rest if x not in seen), None)) is None:
+            order.append(n)
+            todo.pop()
+        else:
+            seen.add(m)
+            todo.append((m, iter(after[m])))
+    at = {n: i for i, n in enumerate(order)}
+    up = {root: root}
     moved = True
     while moved:
         moved = False
-        for n in nodes - {root}:
-            new = {n} | (set.intersection(*[dom[p] for p in before[n]]) if before[n] else set())
-            if new != dom[n]:
-                dom[n], moved = new, True
-    return dom
+        for n in reversed(order[:-1]):
+            new = None
+            for p in before[n]:
+                if p in up:
+                    x, y = p, new
+                    while y is not None and x != y:
+                        if at[x] < at[y]:
+                            x = up[x]
+                        else:
+                            y = up[y]
+                    new = x
+            if up.get(n) != new:
+                up[n], moved = new, True
+    del up[root]
+    return up
 
 
 def dominators(flow: DataFrame, post: bool = False) -> DataFrame:
-    """``method, src, dst``: ``src`` (post-)dominates ``dst``, itself left out."""
+    """``method, src, dst``: ``src`` is the immediate (post-)dominator of ``dst``; the whole relation is what these edges lead to."""
     def compute(method: str, rows: pd.DataFrame):
         edges = list(zip(rows["src"], rows["dst"]))
-        root = f"{method}:RETURN" if post else method
-        dom = _dominators([(b, a) for a, b in edges] if post else edges, root)
-        return [(d, n) for n, all_ in dom.items() for d in sorted(all_) if d != n]
+        up = _dominators([(b, a) for a, b in edges], f"{method}:RETURN") if post else _dominators(edges, method)
+        return [(d, n) for n, d in sorted(up.items())]
 
     return flow.groupBy("method").applyInPandas(_by_method(compute, ["method", "src", "dst"]), "method string, src string, dst string")
 
 
 def control_dependence(flow: DataFrame) -> DataFrame:
-    """``method, src, dst``: ``dst`` runs depending on the branch taken at ``src``."""
+    """``method, src, dst``: ``dst`` runs depending on the branch taken at ``src``: what lies on the post-dominator tree between a branch's target and the branch."""
     def compute(method: str, rows: pd.DataFrame):
         edges = list(zip(rows["src"], rows["dst"]))
-        post = _dominators([(b, a) for a, b in edges], f"{method}:RETURN")
-        return sorted({(a, n) for a, b in edges for n in post[b] if n not in post[a] - {a}})
+        up = _dominators([(b, a) for a, b in edges], f"{method}:RETURN")
+        out = set()
+        for a, b in edges:
+            while b is not None and b != up.get(a):
+                out.add((a, b))
+                b = up.get(b)
+        return sorted(out)
 
     return flow.groupBy("method").applyInPandas(_by_method(compute, ["method", "src", "dst"]), "method string, src string, dst string")
 
 
+def reaching_facts(flow: DataFrame, definitions: DataFrame) -> DataFrame:
+    """``method, step, definition, variable``: the definitions that hold before each step, by set algebra: what the steps before hold or
+    generate, less what they kill.  Each round takes only new facts further.
+
+    ``definitions``: ``method, id, variable``.
+    """
+    from ..operators.iterate import checkpointed
+
+    step = flow.select("method", F.col("src").alias("at"), "dst")
+    keys = ["method", "at", "definition", "variable"]
+    kills = definitions.select("method", F.col("id").alias("at"), "variable")
+    front = definitions.select("method", F.col("id").alias("at"), F.col("id").alias("definition"), "variable").join(step, ["method", "at"])
+    front = seen = checkpointed(front.select("method", F.col("dst").alias("at"), "definition", "variable").distinct())
+    while not front.isEmpty():
+        after = front.join(kills, ["method", "at", "variable"], "left_anti").join(step, ["method", "at"])
+        front = checkpointed(after.select("method", F.col("dst").alias("at"), "definition", "variable").distinct().join(seen, keys, "left_anti"))
+        seen = seen.unionByName(front)
+    return seen.select("method", F.col("at").alias("step"), "definition", "variable")
+
+
 def data_dependence(flow: DataFrame, uses: DataFrame) -> DataFrame:
     """``method, src, dst, variable``: a definition that reaches a use over the control flow without another one between.
 

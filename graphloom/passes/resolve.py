@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.paths import base_name, parent
@@ -78,8 +78,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, stem_fallback: bool =
 
 def named_definitions(imports: DataFrame, definitions: DataFrame) -> DataFrame:
     """``id, definition``: imported names to the first definition of that name in the target file.  ``imports``: ``id, target, names``."""
-    w = Window.partitionBy("file", "name").orderBy("position", "definition")
-    first = definitions.withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("file").alias("target"), "name", "definition")
+    first = definitions.groupBy(F.col("file").alias("target"), "name").agg(F.min_by("definition", F.struct("position", "definition")).alias("definition"))
     return imports.select("id", "target", F.explode("names").alias("name")).join(first, ["target", "name"]).select("id", "definition")
 
 
@@ -96,5 +95,27 @@ def resolve_calls(calls: DataFrame, imports: DataFrame, definitions: DataFrame)
     local = c.where("prefix = ''").select("id", "name", F.col("file").alias("target")).withColumn("how", F.lit("local"))
     found = module.unionByName(direct).unionByName(local).join(d, ["target", "name"])
     rank = F.when(F.col("how") == "local", 1).otherwise(0)
-    w = Window.partitionBy("id").orderBy(rank, "definition")
-    return found.withColumn("k", F.row_number().over(w)).where("k = 1").select("id", "definition", "how")
+    first = F.min(F.struct(rank.alias("rank"), "definition", "how"))
+    return found.groupBy("id").agg(first.alias("f")).select("id", "f.definition", "f.how")
+
+
+def clear_stale(edges: DataFrame, files: DataFrame, types: tuple[str, ...] = ("IMPORT", "IMPORTS")) -> DataFrame:
+    """The edges (``type, file, ..``) without those of the given types that start in one of ``files`` (``path``): they are resolved anew."""
+    old = edges.where(F.col("type").isin(*types)).join(files.select(F.col("path").alias("file")), "file", "left_anti")
+    return edges.where(~F.col("type").isin(*types)).unionByName(old.select(edges.columns))
+
+
+def to_resolve(changed: DataFrame, links: DataFrame) -> DataFrame:
+    """``path``: the changed files and those that import one of them (``links``: ``src, dst``), whose imports and calls are resolved again."""
+    from ..operators.traverse import dependents
+
+    own = changed.select(F.col("path").alias("node"))
+    return own.unionByName(dependents(own, links)).distinct().select(F.col("node").alias("path"))
+
+
+def resolve_again(changed: DataFrame, links: DataFrame, calls: DataFrame, imports: DataFrame, definitions: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``id, file, definition, how`` after some files (``path``) changed: their calls and those of the files that import them anew, the rest as it was."""
+    files = to_resolve(changed, links).select(F.col("path").alias("file"))
+    again = calls.join(files, "file", "left_semi")
+    new = resolve_calls(again, imports.join(files, "file", "left_semi"), definitions).join(again.select("id", "file"), "id")
+    return resolved.join(files, "file", "left_anti").select("id", "file", "definition", "how").unionByName(new.select("id", "file", "definition", "how"))

@@ -10,7 +10,7 @@ from ..operators import traverse as V
 from ..operators import validate as C
 from ..operators import write as W
 from ..sources import paths as S
-from .star import code, star, table
+from .star import CODE_SQL, code, star, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -150,10 +150,12 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(fqn.alias("fqn")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("wr17_create_missing", "SELECT c_name AS key FROM customer WHERE c_custkey < 100 UNION ALL SELECT c_name FROM customer WHERE c_custkey BETWEEN 100 AND 149")
+@query("wr17_create_missing", "SELECT c_name AS key, CASE WHEN c_custkey % 3 = 0 THEN 'there' ELSE 'new' END AS state FROM customer")
 def _(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.lit("C").alias("label"), F.col("c_name").alias("key"), F.lit(None).cast("string").alias("file"), F.create_map().cast("map<string,string>").alias("props"), "c_custkey")
-    return W.create_missing(c.where("c_custkey < 100").drop("c_custkey"), c.where("c_custkey < 150").drop("c_custkey")).select("key")
+    c = table(spark, sf_dir, "customer").select(F.lit("C").alias("label"), F.col("c_name").alias("key"), F.lit(None).cast("string").alias("file"), "c_custkey")
+    state = lambda x: F.create_map(F.lit("state"), F.lit(x)).alias("props")
+    there, rows = c.where("c_custkey % 3 = 0").select("label", "key", "file", state("there")), c.select("label", "key", "file", state("new"))
+    return W.create_missing(there, rows).select("key", F.col("props")["state"].alias("state"))
 
 
 @query("wr18_merge_variable_edges", "SELECT count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem)")
@@ -294,11 +296,11 @@ def _(spark, sf_dir):
 # traversal
 
 
-def _calls(spark, sf_dir, most: int | None = 200) -> DataFrame:
-    return code(spark, sf_dir, most).edges[0].df.toDF("src", "dst")
+def _calls(spark, sf_dir) -> DataFrame:
+    return code(spark, sf_dir).edges[0].df.toDF("src", "dst")
 
 
-_E = "WITH RECURSIVE u AS (SELECT s_suppkey AS id, s_nationkey AS n FROM supplier WHERE s_suppkey <= 200), e AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y USING (n) WHERE y.id = x.id + 25 OR (x.id % 3 = 0 AND y.id < x.id) OR (x.id % 5 = 0 AND y.id > x.id))"
+_E = CODE_SQL
 
 
 def _typed_calls(spark, sf_dir) -> DataFrame:
@@ -322,7 +324,7 @@ def _(spark, sf_dir):
 
 @query("gt10_dead", _E + ", t(x) AS (SELECT b FROM e WHERE a IN (30, 31) UNION SELECT e.b FROM t JOIN e ON e.a = t.x) SELECT id AS node FROM u WHERE id NOT IN (SELECT x FROM t) AND id NOT IN (30, 31)")
 def _(spark, sf_dir):
-    nodes = table(spark, sf_dir, "supplier").where("s_suppkey <= 200").select(F.col("s_suppkey").alias("node"))
+    nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
     return V.dead(nodes, _at(spark, 30, 31), _calls(spark, sf_dir))
 
 
@@ -337,27 +339,27 @@ def _(spark, sf_dir):
     return V.dependents(_at(spark, 30, 31, 33), _calls(spark, sf_dir))
 
 
-@query("gt12_subgraph", _E + " SELECT a AS src, b AS dst FROM e WHERE a < 60 AND b < 60")
+@query("gt12_subgraph", _E + " SELECT a AS src, b AS dst FROM e JOIN u x ON x.id = a JOIN u y ON y.id = b WHERE x.n < 9 AND y.n < 9")
 def _(spark, sf_dir):
-    nodes = table(spark, sf_dir, "supplier").where("s_suppkey < 60").select(F.col("s_suppkey").alias("node"))
+    nodes = table(spark, sf_dir, "supplier").where("s_nationkey < 9").select(F.col("s_suppkey").alias("node"))
     return V.subgraph(nodes, _calls(spark, sf_dir)).select("src", "dst")
 
 
 def _resolution(spark, sf_dir):
-    """Items call parts with a status, suppliers define parts, and every part above 100 is an alias of a smaller one."""
+    """Items call parts with a status, sizes define parts, and of each four parts by key the later ones are aliases of the one before."""
     line = table(spark, sf_dir, "lineitem")
     calls = line.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.when(F.col("l_returnflag") == "R", "resolved").otherwise("external").alias("status"))
-    part = table(spark, sf_dir, "part").where("p_partkey <= 400")
+    part = table(spark, sf_dir, "part")
     defines = part.select(F.col("p_size").alias("src"), F.col("p_partkey").alias("dst"))
-    aliases = part.where("p_partkey > 100").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - 100).alias("dst"))
+    aliases = part.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - 1).alias("dst"))
     return calls, defines, aliases
 
 
-_ROOT = "CASE WHEN {0} BETWEEN 101 AND 400 THEN ({0} - 1) % 100 + 1 ELSE {0} END"
-_TARGETS = f"SELECT DISTINCT l_orderkey AS call, CAST(p_size AS BIGINT) AS definition FROM lineitem JOIN part ON p_partkey <= 400 AND {_ROOT.format('p_partkey')} = {_ROOT.format('l_partkey')} WHERE l_returnflag = 'R'"
+_ROOT = "{0} - {0} % 4"
+_TARGETS = f"SELECT DISTINCT l_orderkey AS call, CAST(p_size AS BIGINT) AS definition FROM lineitem JOIN part ON {_ROOT.format('p_partkey')} = {_ROOT.format('l_partkey')} WHERE l_returnflag = 'R'"
 
 
-@query("gt13_canonical", f"SELECT p_partkey AS node, {_ROOT.format('p_partkey')} AS root FROM part WHERE p_partkey BETWEEN 101 AND 400")
+@query("gt13_canonical", f"SELECT p_partkey AS node, {_ROOT.format('p_partkey')} AS root FROM part WHERE p_partkey % 4 <> 0")
 def _(spark, sf_dir):
     return V.canonical(_resolution(spark, sf_dir)[2])
 
@@ -378,7 +380,7 @@ def _(spark, sf_dir):
 
 @query("gt15_communities")
 def _(spark, sf_dir):
-    edges = _calls(spark, sf_dir, None)
+    edges = _calls(spark, sf_dir)
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("name"))
     return V.community_summary(V.communities(edges), edges, names)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import taint as T
 from ..passes import flow as L
 from ..passes import resolve as R
-from .star import code, table
+from .star import CODE_SQL, code, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -43,33 +43,61 @@ def _tree(spark, sf_dir):
     return head.unionByName(c.select("method", F.explode(step).alias("r"))).select("method", "r.*")
 
 
-@query("cf1_control_flow")
+#: the same methods in SQL: ``s`` the steps that are reached (with the step before and after), ``e`` the flow, ``v`` the calls' variables
+FLOW = """WITH RECURSIVE c AS (SELECT 'm' || conv_id AS m, turn, turn % 3 = 2 AS is_if, turn % 5 = 4 AND turn % 3 <> 2 AS is_return FROM conversations),
+f AS (SELECT m, min(turn) FILTER (is_return) AS stop FROM c GROUP BY 1),
+s AS (SELECT c.m, turn, is_if, c.m || ':' || turn AS own, coalesce(c.m || ':' || lag(turn) OVER w, c.m) AS prev, coalesce(c.m || ':' || lead(turn) OVER w, c.m || ':RETURN') AS nxt FROM c JOIN f USING (m) WHERE stop IS NULL OR turn <= stop WINDOW w AS (PARTITION BY c.m ORDER BY turn)),
+e AS (SELECT m AS method, m AS src, own AS dst, 'FALL_THROUGH' AS kind FROM s WHERE prev = m UNION ALL SELECT m, own, nxt, CASE WHEN is_if THEN 'FALSE' ELSE 'FALL_THROUGH' END FROM s
+UNION ALL SELECT m, own, own || ':c', 'TRUE' FROM s WHERE is_if UNION ALL SELECT m, own || ':c', nxt, 'FALL_THROUGH' FROM s WHERE is_if),
+v AS (SELECT m AS method, m || ':' || turn || CASE WHEN is_if THEN ':c' ELSE '' END AS id, 'v' || turn % 2 AS variable, turn % 4 < 2 AS defines FROM c WHERE NOT is_return),
+r AS (SELECT e.method, e.dst AS step, v.id AS definition, v.variable FROM v JOIN e ON e.src = v.id WHERE v.defines
+UNION SELECT r.method, e.dst, r.definition, r.variable FROM r JOIN e ON e.src = r.step LEFT JOIN v ON v.id = r.step AND v.variable = r.variable AND v.defines WHERE v.id IS NULL)"""
+
+
+@query("cf1_control_flow", FLOW + " SELECT * FROM e")
 def _(spark, sf_dir):
     return L.control_flow(_tree(spark, sf_dir))
 
 
-@query("cf8_blocks")
+@query("cf8_blocks", FLOW + """, x AS (SELECT m AS method, m || ':' || turn AS id, turn FROM c UNION ALL SELECT m, m || ':' || turn || ':c', turn FROM c WHERE is_if),
+y AS (SELECT *, lag(id) OVER (PARTITION BY method ORDER BY turn, id) AS prev FROM x),
+z AS (SELECT y.method, y.id, y.turn, prev IS NULL OR id IN (SELECT dst FROM e GROUP BY dst HAVING count(*) > 1 OR bool_or(kind <> 'FALL_THROUGH')) OR prev IN (SELECT src FROM e GROUP BY src HAVING count(*) > 1) AS first FROM y)
+SELECT method, id, CAST(sum(first::INTEGER) OVER (PARTITION BY method ORDER BY turn, id) AS BIGINT) AS block FROM z""")
 def _(spark, sf_dir):
     tree = _tree(spark, sf_dir)
     steps = tree.where("label in ('CALL', 'RETURN', 'CONTROL_STRUCTURE')").select("method", "id", "ord")
     return L.basic_blocks(steps, L.control_flow(tree))
 
 
-@query("pd4_control_dependence")
+@query("pd4_control_dependence", FLOW + " SELECT m AS method, own AS src, own || ':c' AS dst FROM s WHERE is_if")
 def _(spark, sf_dir):
     return L.control_dependence(L.control_flow(_tree(spark, sf_dir)))
 
 
-@query("pd5_dominators")
+@query("pd4_post_dominators", FLOW + " SELECT m AS method, nxt AS src, own AS dst FROM s UNION ALL SELECT m, nxt, own || ':c' FROM s WHERE is_if UNION ALL SELECT m, own, m FROM s WHERE prev = m")
+def _(spark, sf_dir):
+    return L.dominators(L.control_flow(_tree(spark, sf_dir)), post=True)
+
+
+@query("pd5_dominators", FLOW + " SELECT m AS method, prev AS src, own AS dst FROM s UNION ALL SELECT m, own, own || ':c' FROM s WHERE is_if UNION ALL SELECT m, own, nxt FROM s WHERE nxt = m || ':RETURN'")
 def _(spark, sf_dir):
     return L.dominators(L.control_flow(_tree(spark, sf_dir)))
 
 
-@query("pd3_data_dependence")
+def _variables(tree):
+    return tree.where("label = 'CALL'").select("method", "id", F.concat(F.lit("v"), F.col("ord") % 2).alias("variable"), (F.col("ord") % 4 < 2).alias("defines"))
+
+
+@query("pd3_data_dependence", FLOW + " SELECT r.method, r.definition AS src, r.step AS dst, r.variable FROM r JOIN v ON v.id = r.step AND v.variable = r.variable AND NOT v.defines")
 def _(spark, sf_dir):
     tree = _tree(spark, sf_dir)
-    uses = tree.where("label = 'CALL'").select("method", "id", F.concat(F.lit("v"), F.col("ord") % 2).alias("variable"), (F.col("ord") % 4 < 2).alias("defines"))
-    return L.data_dependence(L.control_flow(tree), uses)
+    return L.data_dependence(L.control_flow(tree), _variables(tree))
+
+
+@query("st3_reaching_sets", FLOW + " SELECT method, step, definition, variable FROM r")
+def _(spark, sf_dir):
+    tree = _tree(spark, sf_dir)
+    return L.reaching_facts(L.control_flow(tree), _variables(tree).where("defines").select("method", "id", "variable"))
 
 
 @query("pd2_nested_control", "SELECT 'm' || conv_id || ':' || turn AS src, 'm' || conv_id || ':' || turn || s AS dst FROM conversations, (VALUES (':b'), (':c')) t(s) WHERE turn % 3 = 2")
@@ -86,8 +114,8 @@ def _(spark, sf_dir):
 
 
 def _modules(spark, sf_dir):
-    """Nations are packages with a module for each of their customers below 400; each module imports one of its package and one of the root."""
-    c = table(spark, sf_dir, "customer").where("c_custkey < 400")
+    """Nations are packages with a module for each of their customers; each module imports one of its package and one of the root."""
+    c = table(spark, sf_dir, "customer")
     files = c.select(F.concat(F.lit("n"), "c_nationkey", F.lit("/c"), "c_custkey", F.lit(".py")).alias("path"))
     texts = F.array(F.concat(F.lit("from .c"), F.col("c_custkey") + 25, F.lit(" import a, b as x")), F.concat(F.lit("import n"), "c_nationkey", F.lit(".c"), "c_custkey", F.lit(" as y")))
     rows = c.select("c_custkey", F.concat(F.lit("n"), "c_nationkey", F.lit("/c"), "c_custkey", F.lit(".py")).alias("file"), F.posexplode(texts).alias("k", "text"))
@@ -95,7 +123,7 @@ def _modules(spark, sf_dir):
     return files, parsed.withColumn("candidates", R.python_candidates(F.col("file"), F.col("module"), F.col("level")))
 
 
-@query("fn20_python_imports", "SELECT c_custkey * 2 AS id, 'c' || (c_custkey + 25) AS module, CAST(1 AS INTEGER) AS level, 'a,b' AS names FROM customer WHERE c_custkey < 400 UNION ALL SELECT c_custkey * 2 + 1, 'n' || c_nationkey || '.c' || c_custkey, 0, 'n' || c_nationkey || '.c' || c_custkey FROM customer WHERE c_custkey < 400")
+@query("fn20_python_imports", "SELECT c_custkey * 2 AS id, 'c' || (c_custkey + 25) AS module, CAST(1 AS INTEGER) AS level, 'a,b' AS names FROM customer UNION ALL SELECT c_custkey * 2 + 1, 'n' || c_nationkey || '.c' || c_custkey, 0, 'n' || c_nationkey || '.c' || c_custkey FROM customer")
 def _(spark, sf_dir):
     return _modules(spark, sf_dir)[1].select("id", "module", "level", F.array_join("names", ",").alias("names"))
 
@@ -107,14 +135,14 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), i["module"].alias("module"), F.array_join(i["names"], ",").alias("names"))
 
 
-@query("rs1_imports", "SELECT a.c_custkey * 2 AS id, 'n' || b.c_nationkey || '/c' || b.c_custkey || '.py' AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 AND b.c_nationkey = a.c_nationkey WHERE b.c_custkey < 400 UNION ALL SELECT c_custkey * 2 + 1, 'n' || c_nationkey || '/c' || c_custkey || '.py' FROM customer WHERE c_custkey < 400")
-@query("jn13_candidates", "SELECT a.c_custkey * 2 AS id, 'n' || b.c_nationkey || '/c' || b.c_custkey || '.py' AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 AND b.c_nationkey = a.c_nationkey WHERE b.c_custkey < 400 UNION ALL SELECT c_custkey * 2 + 1, 'n' || c_nationkey || '/c' || c_custkey || '.py' FROM customer WHERE c_custkey < 400")
+@query("rs1_imports", "SELECT a.c_custkey * 2 AS id, 'n' || b.c_nationkey || '/c' || b.c_custkey || '.py' AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 AND b.c_nationkey = a.c_nationkey UNION ALL SELECT c_custkey * 2 + 1, 'n' || c_nationkey || '/c' || c_custkey || '.py' FROM customer")
+@query("jn13_candidates", "SELECT a.c_custkey * 2 AS id, 'n' || b.c_nationkey || '/c' || b.c_custkey || '.py' AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 AND b.c_nationkey = a.c_nationkey UNION ALL SELECT c_custkey * 2 + 1, 'n' || c_nationkey || '/c' || c_custkey || '.py' FROM customer")
 def _(spark, sf_dir):
     files, imports = _modules(spark, sf_dir)
     return R.resolve_imports(imports, files).select("id", "target")
 
 
-@query("jn14_stem_fallback", "SELECT a.c_custkey * 2 AS id, 'n' || b.c_nationkey || '/c' || b.c_custkey || '.py' AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 WHERE b.c_custkey < 400 UNION ALL SELECT c_custkey * 2 + 1, 'n' || c_nationkey || '/c' || c_custkey || '.py' FROM customer WHERE c_custkey < 400")
+@query("jn14_stem_fallback", "SELECT a.c_custkey * 2 AS id, 'n' || b.c_nationkey || '/c' || b.c_custkey || '.py' AS target FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 25 UNION ALL SELECT c_custkey * 2 + 1, 'n' || c_nationkey || '/c' || c_custkey || '.py' FROM customer")
 def _(spark, sf_dir):
     files, imports = _modules(spark, sf_dir)
     return R.resolve_imports(imports, files, stem_fallback=True).select("id", "target")
@@ -132,31 +160,33 @@ def _(spark, sf_dir):
     return found.groupBy("id").agg(F.min("definition").alias("definition"))
 
 
-def _units(spark, sf_dir, most: int | None = 200):
-    """The cyclic graph's nodes with names by which the rules tag them (keys up to ``most``, as in the SQL)."""
-    s = table(spark, sf_dir, "supplier")
-    s = s if most is None else s.where(F.col("s_suppkey") <= most)
+def _units(spark, sf_dir):
+    """The cyclic graph's nodes with names by which the rules tag them."""
     i = F.col("s_suppkey")
     name = F.when(i % 10 == 3, "os.environ.get").when(i % 10 == 8, "cursor.execute").when(i % 10 == 5, "html.escape").when(i % 10 == 2, "eval").otherwise("f")
-    return s.select(i.alias("id"), F.lit("python").alias("language"), name.alias("name"), F.concat(F.lit("c"), i).alias("code"), i.alias("line"), F.col("s_nationkey").alias("method"))
+    return table(spark, sf_dir, "supplier").select(i.alias("id"), F.lit("python").alias("language"), name.alias("name"), F.concat(F.lit("c"), i).alias("code"), i.alias("line"), F.col("s_nationkey").alias("method"))
 
 
-@query("tq1_tags", "SELECT s_suppkey AS id, CASE s_suppkey % 10 WHEN 3 THEN 'os-environ' WHEN 8 THEN 'sqlite-execute' WHEN 5 THEN 'sql-param' ELSE 'eval' END AS rule FROM supplier WHERE s_suppkey <= 200 AND s_suppkey % 10 IN (2, 3, 5, 8)")
+@query("tq1_tags", "SELECT s_suppkey AS id, CASE s_suppkey % 10 WHEN 3 THEN 'os-environ' WHEN 8 THEN 'sqlite-execute' WHEN 5 THEN 'sql-param' ELSE 'eval' END AS rule FROM supplier WHERE s_suppkey % 10 IN (2, 3, 5, 8)")
 def _(spark, sf_dir):
     return T.tag(_units(spark, sf_dir)).select("id", F.explode("tags").alias("t")).select("id", F.col("t.rule").alias("rule"))
 
 
 def _flows(spark, sf_dir):
-    edges = code(spark, sf_dir, None).edges[0].df.toDF("src", "dst")
-    return T.propagate(T.tag(_units(spark, sf_dir, None)), edges)
+    return T.propagate(T.tag(_units(spark, sf_dir)), code(spark, sf_dir).edges[0].df.toDF("src", "dst"))
+
 
+#: of all simple paths from sources to sinks the shortest, then least; a sanitizer (5) takes one of the classes
+FLOWS = CODE_SQL + """, t(source, here, live, path) AS (SELECT id, id, true, [id] FROM u WHERE id % 10 = 3 UNION ALL SELECT t.source, e.b, t.live AND e.b % 10 <> 5, list_append(t.path, e.b) FROM t JOIN e ON e.a = t.here WHERE NOT list_contains(t.path, e.b) AND len(t.path) <= 20),
+w AS (SELECT source, here AS sink, CASE here % 10 WHEN 8 THEN 'SQL_INJECTION' ELSE 'DESERIALIZATION' END AS class, arg_min(path, (len(path), path)) AS path FROM t WHERE here % 10 = 2 OR (here % 10 = 8 AND live) GROUP BY 1, 2, 3)"""
 
-@query("tq2_taint")
+
+@query("tq2_taint", FLOWS + " SELECT source, sink, class, array_to_string(path, '>') AS path FROM w")
 def _(spark, sf_dir):
     return _flows(spark, sf_dir).select("source", "sink", "class", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query("tq3_backward_slice", "WITH RECURSIVE u AS (SELECT s_suppkey AS id, s_nationkey AS n FROM supplier WHERE s_suppkey <= 200), e AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y USING (n) WHERE y.id = x.id + 25 OR (x.id % 3 = 0 AND y.id < x.id) OR (x.id % 5 = 0 AND y.id > x.id)), t(x) AS (SELECT id FROM u WHERE id % 10 IN (2, 8) UNION SELECT e.a FROM t JOIN e ON e.b = t.x) SELECT x AS node FROM t")
+@query("tq3_backward_slice", CODE_SQL + ", t(x) AS (SELECT id FROM u WHERE id % 10 IN (2, 8) UNION SELECT e.a FROM t JOIN e ON e.b = t.x) SELECT x AS node FROM t")
 def _(spark, sf_dir):
     return T.slice_from_sinks(T.tag(_units(spark, sf_dir)), code(spark, sf_dir).edges[0].df.toDF("src", "dst"), hops=200)
 
@@ -180,13 +210,19 @@ def _(spark, sf_dir):
     return syntax_tree(_sources(spark, sf_dir)).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("tq13_findings")
+@query("tq13_findings", FLOWS + " SELECT source, sink, class, 'c' || source AS source_code, 'c' || sink AS sink_code, CAST(len(path) - 1 AS INTEGER) AS hops, u.n AS method FROM w JOIN u ON u.id = sink")
 def _(spark, sf_dir):
-    found = T.findings(_flows(spark, sf_dir), _units(spark, sf_dir, None).select("id", "code", "line", "method"))
+    found = T.findings(_flows(spark, sf_dir), _units(spark, sf_dir).select("id", "code", "line", "method"))
     return found.select("source", "sink", "class", "source_code", "sink_code", "hops", "method")
 
 
-@query("tq14_flow_edges")
+@query("tq15_records", FLOWS + " SELECT source, sink, class, 'c' || array_to_string(path, ',c') AS flow FROM w")
+def _(spark, sf_dir):
+    found = T.findings(_flows(spark, sf_dir), _units(spark, sf_dir).select("id", "code", "line", "method"))
+    return found.select("source", "sink", "class", F.array_join(F.transform("flow", lambda s: s["code"]), ",").alias("flow"))
+
+
+@query("tq14_flow_edges", FLOWS + ", h AS (SELECT path, unnest(range(1, len(path))) AS i FROM w) SELECT DISTINCT path[i] AS src, path[i + 1] AS dst, CAST(i AS INTEGER) AS hop FROM h")
 def _(spark, sf_dir):
     return T.flow_edges(_flows(spark, sf_dir))
 

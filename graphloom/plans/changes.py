@@ -95,7 +95,7 @@ def _(spark, sf_dir):
     return C.queue(_events(spark, sf_dir), "path", "kind", ["ts", "seq"])
 
 
-@query("so5_batch_order", f"WITH e AS (SELECT user_id, arg_max({_KIND}, (ts, event_id)) AS kind FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS path, kind FROM e ORDER BY CASE kind WHEN 'rename' THEN 0 WHEN 'delete' THEN 1 WHEN 'change' THEN 2 ELSE 3 END, length(CAST(user_id AS VARCHAR)), 1 LIMIT 20")
+@query("so5_batch_order", f"WITH e AS (SELECT user_id, arg_max({_KIND}, (ts, event_id)) AS kind FROM events GROUP BY 1) SELECT CAST(user_id AS VARCHAR) AS path, kind FROM e ORDER BY CASE kind WHEN 'rename' THEN 0 WHEN 'delete' THEN 1 WHEN 'change' THEN 2 ELSE 3 END, length(CAST(user_id AS VARCHAR)), 1")
 def _(spark, sf_dir):
     last = _events(spark, sf_dir).groupBy(F.col("path").cast("string").alias("path")).agg(F.max_by("kind", F.struct("ts", "seq")).alias("kind"))
-    return C.batch_order(last).limit(20)
+    return C.batch_order(last)

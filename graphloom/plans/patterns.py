@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..cypher import run
-from .star import code, star
+from .star import CODE_SQL, code, star
 
 #: name -> (Cypher, SQL)
 CYPHER: dict[str, tuple[str, str]] = {
@@ -67,17 +67,15 @@ CYPHER: dict[str, tuple[str, str]] = {
     "gt2_bounded": ("MATCH (r:REGION {id: 2})-[:HAS*1..2]->(x) RETURN r.id AS region, labels(x)[0] AS label, x.id AS id", "SELECT CAST(n_regionkey AS BIGINT) AS region, 'NATION' AS label, CAST(n_nationkey AS BIGINT) AS id FROM nation WHERE n_regionkey = 2 UNION ALL SELECT CAST(n_regionkey AS BIGINT), 'CUSTOMER', c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_regionkey = 2"),
 }
 
-CALLS = "WITH RECURSIVE u AS (SELECT s_suppkey AS id, s_nationkey AS n FROM supplier WHERE s_suppkey <= 200), e AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y USING (n) WHERE y.id = x.id + 25 OR (x.id % 3 = 0 AND y.id < x.id) OR (x.id % 5 = 0 AND y.id > x.id))"
-
 #: on the cyclic graph
 CYCLIC: dict[str, tuple[str, str]] = {
     "gt3_paths": (
-        "MATCH p = (a:UNIT)-[:CALLS*1..3]->(b:UNIT) WHERE a.id < 60 RETURN a.id AS a, b.id AS b, length(p) AS hops, count(*) AS paths",
-        CALLS + ", p AS (SELECT a, b, 1 AS hops FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a WHERE (x.a, x.b) <> (y.a, y.b) UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a WHERE (x.a, x.b) <> (y.a, y.b) AND (y.a, y.b) <> (z.a, z.b) AND (x.a, x.b) <> (z.a, z.b)) SELECT a, b, hops, count(*) AS paths FROM p WHERE a < 60 GROUP BY 1, 2, 3",
+        "MATCH p = (a:UNIT)-[:CALLS*1..3]->(b:UNIT) RETURN a.id AS a, b.id AS b, length(p) AS hops, count(*) AS paths",
+        CODE_SQL + ", p AS (SELECT a, b, 1 AS hops FROM e UNION ALL SELECT x.a, y.b, 2 FROM e x JOIN e y ON x.b = y.a WHERE (x.a, x.b) <> (y.a, y.b) UNION ALL SELECT x.a, z.b, 3 FROM e x JOIN e y ON x.b = y.a JOIN e z ON y.b = z.a WHERE (x.a, x.b) <> (y.a, y.b) AND (y.a, y.b) <> (z.a, z.b) AND (x.a, x.b) <> (z.a, z.b)) SELECT a, b, hops, count(*) AS paths FROM p GROUP BY 1, 2, 3",
     ),
-    "gt4_path_exists": ("MATCH (a:UNIT) WHERE EXISTS { MATCH (a)-[:CALLS*]->(b:UNIT) WHERE b.id > 80 } RETURN a.id AS a", CALLS + ", t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b) SELECT DISTINCT a FROM t WHERE b > 80"),
-    "gt7_transitive_importers": ("MATCH (a:UNIT {id: 30})<-[:CALLS*]-(b:UNIT) RETURN DISTINCT b.id AS id", CALLS + ", t(b) AS (SELECT a FROM e WHERE b = 30 UNION SELECT e.a FROM t JOIN e ON e.b = t.b) SELECT b AS id FROM t"),
-    "gt16_cycles": ("MATCH (a:UNIT)-[:CALLS*]->(a) RETURN DISTINCT a.id AS id", CALLS + ", t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b) SELECT DISTINCT a AS id FROM t WHERE a = b"),
+    "gt4_path_exists": ("MATCH (a:UNIT) WHERE EXISTS { MATCH (a)-[:CALLS*]->(b:UNIT) WHERE b.nation = 3 } RETURN a.id AS a", CODE_SQL + ", t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b) SELECT DISTINCT a FROM t JOIN u ON u.id = t.b WHERE u.n = 3"),
+    "gt7_transitive_importers": ("MATCH (a:UNIT {id: 30})<-[:CALLS*]-(b:UNIT) RETURN DISTINCT b.id AS id", CODE_SQL + ", t(b) AS (SELECT a FROM e WHERE b = 30 UNION SELECT e.a FROM t JOIN e ON e.b = t.b) SELECT b AS id FROM t"),
+    "gt16_cycles": ("MATCH (a:UNIT)-[:CALLS*]->(a) RETURN DISTINCT a.id AS id", CODE_SQL + ", t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b) SELECT DISTINCT a AS id FROM t WHERE a = b"),
 }
 
 

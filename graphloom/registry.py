@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "flagship"
-MODULES = ("patterns", "algebra", "analysis", "workspace", "changes")
+MODULES = ("patterns", "algebra", "analysis", "workspace", "changes", "more")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,8 +10,8 @@ import ast
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OUT = "part string, label string, key string, file string, props map<string,string>, type string, from_label string, from_key string, to_label string, to_key string"
@@ -81,6 +81,38 @@ def python_declarations(body: list[ast.stmt], in_class: bool = False) -> list[De
     return out
 
 
+def python_body(text: str) -> tuple[list[ast.stmt], str | None]:
+    """The statements of a module, and the error's name if it does not parse as a whole.
+
+    Then statements are read one after the other from each line without indentation; where one does not parse even with the
+    lines up to the next few such lines, it is passed over.
+    """
+    try:
+        return ast.parse(text).body, None
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        error = type(e).__name__
+    lines = text.split("\n")
+    starts = [i for i, x in enumerate(lines) if x[:1].strip() and x[0] not in "#)]}" and not (i and lines[i - 1].startswith("@"))]
+    body, at = [], 0
+    while at < len(starts):
+        for end in range(at + 1, min(at + 6, len(starts) + 1)):
+            stop = starts[end] if end < len(starts) else len(lines)
+            try:
+                found = ast.parse("\n" * starts[at] + "\n".join(lines[starts[at] : stop])).body
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                continue
+            body += found
+            at = end
+            break
+        else:
+            at += 1
+    return body, error
+
+
+#: languages whose declarations are extracted; others give their module alone, and one warning
+EXTRACTED = ("python", "typescript", "tsx")
+
+
 # TypeScript
 
 
@@ -208,7 +240,7 @@ def typescript_declarations(text: str) -> list[Declaration]:
 
 
 def rows_of(path: str, language: str, text: str) -> list[dict]:
-    """Node and edge rows of one file; a file that cannot be parsed gives its module and one UNKNOWN."""
+    """Node and edge rows of one file; one that cannot be parsed as a whole gives its module, one UNKNOWN and what can be read of it."""
     name = path.rpartition("/")[2]
     module = node_id(path, "MODULE", [name])
     lines = text.count("\n") + 1
@@ -222,11 +254,10 @@ def rows_of(path: str, language: str, text: str) -> list[dict]:
         out.append({"part": "edge", "type": kind, "from_label": a, "from_key": x, "to_label": b, "to_key": y, "props": {}})
 
     node("MODULE", module, {"name": name, "range": f"1:0-{lines}:{len(text.rpartition(chr(10))[2])}", "status": "ready"})
-    try:
-        found = python_declarations(ast.parse(text).body) if language == "python" else typescript_declarations(text) if language in ("typescript", "tsx", "javascript") else []
-    except (SyntaxError, ValueError, RecursionError) as e:
-        node("UNKNOWN", node_id(path, "UNKNOWN", [name]), {"reason": type(e).__name__, "status": "error"})
-        return out
+    body, error = python_body(text) if language == "python" else ([], None)
+    found = python_declarations(body) if language == "python" else typescript_declarations(text) if language in EXTRACTED else []
+    if error:
+        node("UNKNOWN", node_id(path, "UNKNOWN", [name]), {"reason": error, "status": "error"})
 
     def add(items: list[Declaration], owner: tuple[str, str], scope: list[str]) -> None:
         for d in items:
@@ -245,14 +276,50 @@ def rows_of(path: str, language: str, text: str) -> list[dict]:
     return out
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Node and edge rows (the generic form) of ``path, language, text``."""
+_KINDS = [pa.map_(pa.string(), pa.string()) if c.split()[0] == "props" else pa.string() for c in OUT.split(", ")]
+
+
+def declarations(files: DataFrame) -> DataFrame:
+    """Rows of :data:`OUT`, nodes and edges together, of ``path, language, text``; each file is parsed once.  Store them to use them twice."""
     columns = [c.split()[0] for c in OUT.split(", ")]
 
     def run(batches):
         for batch in batches:
-            rows = [r for f in batch.itertuples(index=False) for r in rows_of(f.path, f.language or "", f.text or "")]
-            yield pd.DataFrame(rows, columns=columns) if rows else pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
+            rows = [r for path, language, text in zip(*[c.to_pylist() for c in batch.columns]) for r in rows_of(path, language or "", text or "")]
+            values = [[list(r["props"].items()) for r in rows] if c == "props" else [r.get(c) for r in rows] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, _KINDS)], columns)
 
-    found = files.select("path", "language", "text").mapInPandas(run, OUT)
+    return files.select("path", "language", "text").mapInArrow(run, OUT)
+
+
+def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The node and edge rows (the generic form) of :func:`declarations`."""
     return found.where("part = 'node'").select("label", "key", "file", "props"), found.where("part = 'edge'").select("type", "from_label", "from_key", "to_label", "to_key", "props")
+
+
+def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Node and edge rows of ``path, language, text``."""
+    return split(declarations(files))
+
+
+def warnings(files: DataFrame) -> DataFrame:
+    """``kind, language, first, files``: one warning for each language that is known but not extracted."""
+    other = files.where(F.col("language").isNotNull() & ~F.col("language").isin(*EXTRACTED, "none"))
+    return other.groupBy(F.lit("unsupported language").alias("kind"), "language").agg(F.min("path").alias("first"), F.count("*").alias("files"))
+
+
+def python_visibility(name: Column) -> Column:
+    """Of a Python name: two leading underscores (and none at the end) are private, other leading ones protected."""
+    return F.when(name.rlike("^__") & ~name.rlike("__$"), "private").when(name.startswith("_"), "protected").otherwise("public")
+
+
+def typescript_visibility(modifiers: Column) -> Column:
+    """By the modifiers before a member's name; public without one."""
+    return F.coalesce(F.when(modifiers.rlike(r"\bprivate\b"), "private").when(modifiers.rlike(r"\bprotected\b"), "protected"), F.lit("public"))
+
+
+def docstring_head(text: Column) -> Column:
+    """The first line of a docstring's source text, without its quotes and prefix; null if there is none."""
+    inner = F.regexp_extract(F.trim(text), r"(?s)^[rRbBuUfF]{0,2}(\"{3}|'{3}|\"|')(.*)\1$", 2)
+    line = F.trim(F.substring_index(F.regexp_replace(inner, r"^\s+", ""), "\n", 1))
+    return F.when(line != "", line)

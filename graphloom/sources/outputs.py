@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def format_table(df: DataFrame, most: int = 1000) -> str:
-    """A padded table of the first rows: nulls empty, nested values as JSON; ``(0 rows)`` if there are none."""
-    rows = [r.asDict(recursive=True) for r in df.limit(most).collect()]
+def format_table(df: DataFrame) -> str:
+    """A padded table of all rows: nulls empty, nested values as JSON; ``(0 rows)`` if there are none.
+
+    For people to read: the rows come to the driver (a query's own LIMIT bounds them).
+    """
+    rows = [r.asDict(recursive=True) for r in df.toLocalIterator()]
     if not rows:
         return "(0 rows)"
     show = lambda v: "" if v is None else json.dumps(v, default=str) if isinstance(v, (dict, list)) else str(v)
@@ -20,8 +23,36 @@ def format_table(df: DataFrame, most: int = 1000) -> str:
 
 
 def json_lines(df: DataFrame) -> DataFrame:
-    """``line``: each row as JSON."""
-    return df.select(F.to_json(F.struct("*")).alias("line"))
+    """``line``: each row as JSON, nulls included."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+
+
+def query_value(c) -> Column:
+    """A value as a literal of a query's text: null, or in quotes with backslashes, line ends and quotes escaped."""
+    text = F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    for a, b in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ('"', '\\"')):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
+def query_parameter(value) -> str:
+    """A parameter's value as it stands in a query's prefix: lists and maps by their parts, texts quoted."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (int, float)):
+        return str(value)
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(map(query_parameter, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{k}: {query_parameter(v)}" for k, v in value.items()) + "}"
+    return '"' + str(value).replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def parameter_prefix(params: dict) -> str:
+    """``CYPHER k=v ..`` for a plan's text; nothing without parameters."""
+    return "".join(["CYPHER ", *[f"{k}={query_parameter(v)} " for k, v in params.items()]]) if params else ""
 
 
 def _escaped(c):

@@ -10,7 +10,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREE = "id string, parent string, ord int, label string, name string, code string, line int, col int, file string, method string, control string"
@@ -118,6 +118,23 @@ def tree_edges(tree: DataFrame) -> DataFrame:
     return below.unionByName(tree.select(F.lit("SOURCE_FILE").alias("type"), F.col("id").alias("src"), F.col("file").alias("dst"), F.lit(None).cast("int").alias("ord")))
 
 
+def shown_code(c: Column) -> Column:
+    """A node's text as the tree holds it."""
+    return F.substring(c, 1, CODE)
+
+
+def shown_name(c: Column) -> Column:
+    return F.substring(c, 1, NAME)
+
+
+def captures(tree: DataFrame, names: tuple[str, ...] = ("definition.function", "definition.class", "definition.variable", "import", "call")) -> DataFrame:
+    """``file, capture, name, line``: what queries for symbols and imports capture, by position."""
+    label, code = F.col("label"), F.col("code")
+    is_import = code.rlike(r"^(?:from\s|import\s)")
+    capture = F.when(label == "METHOD", "definition.function").when(label == "TYPE_DECL", "definition.class").when((label == "LOCAL") & F.col("method").isNull(), "definition.variable").when((label == "CALL") & is_import, "import").when(label == "CALL", "call")
+    return tree.select("file", capture.alias("capture"), "name", "line").where(F.col("capture").isin(*names))
+
+
 def symbols(tree: DataFrame) -> DataFrame:
     """``file, name, kind, line``: definitions by name."""
     return tree.where("label in ('METHOD', 'TYPE_DECL') or (label = 'LOCAL' and method is null)").select("file", "name", F.col("label").alias("kind"), "line")

@@ -6,6 +6,7 @@ executors, so a scan of many files is distributed.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import stat as st
@@ -114,18 +115,79 @@ def load(spark: SparkSession, root: str, found: Walk) -> DataFrame:
 
 
 def index_workspace(spark: SparkSession, root: str, store, scope: Scope = Scope()) -> dict:
-    """Scan, extract declarations and write them; a report of counts."""
-    from .extract import extract
+    """Scan, extract declarations and write them; a report of counts.
+
+    What a file owned before is replaced, so indexing the same folder again gives the same graph.
+    """
+    from ..operators.iterate import checkpointed
+    from .extract import declarations, split, warnings
 
     found = walk(root, scope)
-    rows = load(spark, root, found)
-    nodes, edges = extract(rows)
+    rows = checkpointed(load(spark, root, found))
+    parsed = checkpointed(declarations(rows))
     files = rows.select("path", "name", "parent", "language", "content_hash", "loc", F.lit("ready").alias("status"), F.lit(1).alias("version"))
     store.write_filesystem(files=files)
-    store.save(*_union(store, nodes, edges))
-    return {"files": len(found.files), "directories": len(found.directories), "nodes": nodes.count(), "edges": edges.count(), "stats": found.counts}
+    store.replace_files(files.select("path"), *split(parsed))
+    parts = {r["part"]: r["count"] for r in parsed.groupBy("part").count().collect()}
+    told = [r.asDict() for r in warnings(rows).orderBy("language").collect()]  # one for each language
+    return {"files": len(found.files), "directories": len(found.directories), "nodes": parts.get("node", 0), "edges": parts.get("edge", 0), "stats": found.counts, "warnings": told}
+
+
+def scope_from(path: str) -> Scope:
+    """A scope from a JSON file: ``include``, ``exclude``, ``excludeExtra`` and ``maxBytes``; other names are refused."""
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    if unknown := sorted(set(given) - {"include", "exclude", "excludeExtra", "maxBytes"}):
+        raise ValueError(f"unknown settings {unknown}")
+    return define_scope(given.get("include"), given.get("exclude"), tuple(given.get("excludeExtra", ())), given.get("maxBytes"))
+
+
+def scan_folders(root: str, folders: tuple[str, ...] = ("src",), skip: tuple[str, ...] = ("node_modules",)) -> Walk:
+    """The older scan: all files below the watched folders, without names that begin with a dot and the folders in ``skip``."""
+    out = Walk()
+    todo = [f for f in folders if os.path.isdir(os.path.join(root, f))]
+    while todo:
+        rel = todo.pop()
+        out.directories.append(rel)
+        below = []
+        for e in sorted(os.scandir(os.path.join(root, rel)), key=lambda e: e.name):
+            if e.name.startswith(".") or e.name in skip:
+                continue
+            if e.is_dir(follow_symlinks=False):
+                below.append(f"{rel}/{e.name}")
+            elif e.is_file(follow_symlinks=False):
+                out.files.append((f"{rel}/{e.name}", e.stat().st_size))
+        todo += reversed(below)
+    return out
+
+
+def scan(listing: DataFrame, scope: Scope = Scope()) -> DataFrame:
+    """``path, size, state, language`` of a listing ``path, size, is_link`` (say of an object store): symlink, excluded, too large or kept.
+
+    The same decisions as :func:`walk` takes, as columns; a pattern that leaves out a folder leaves out all below it.
+    """
+    path = F.col("path")
+    out = P.matches(path, scope.exclude) | ~P.matches(path, scope.include)
+    link = F.col("is_link") & F.lit(not scope.follow_links)
+    state = F.when(link, "symlink").when(out, "excluded").when(F.col("size") > scope.max_bytes, "too large").otherwise("kept")
+    return listing.select("path", "size", state.alias("state"), P.language(path).alias("language"))
+
+
+def scan_counts(scanned: DataFrame) -> DataFrame:
+    """The counters of a walk that come from files, as one row."""
+    n = lambda c: F.count(F.when(c, 1))
+    state = F.col("state")
+    return scanned.agg(n(state != "symlink").alias("filesSeen"), n(state == "excluded").alias("filesExcluded"), n((state == "kept") & F.col("language").isNull()).alias("filesUnsupported"), n(state == "too large").alias("filesTooLarge"), n(state == "symlink").alias("symlinksSkipped"))
+
+
+def records(scanned: DataFrame) -> DataFrame:
+    """``path, name, parent, language`` of the files that a scan keeps."""
+    path = F.col("path")
+    return scanned.where("state = 'kept'").select("path", P.base_name(path).alias("name"), P.parent(path).alias("parent"), F.coalesce("language", F.lit("none")).alias("language"))
 
 
-def _union(store, nodes: DataFrame, edges: DataFrame):
-    old_nodes, old_edges = store.read()
-    return old_nodes.unionByName(nodes), old_edges.unionByName(edges)
+def scan_older(listing: DataFrame, folders: tuple[str, ...] = ("src",), skip: tuple[str, ...] = ("node_modules",)) -> DataFrame:
+    """``path`` of what :func:`scan_folders` finds, from a listing ``path, size, is_link``."""
+    parts = F.split("path", "/")
+    hidden = F.exists(parts, lambda x: x.startswith(".") | x.isin(*skip))
+    return listing.where(F.get(parts, F.lit(0)).isin(*folders) & (F.size(parts) > 1) & ~hidden & ~F.col("is_link")).select("path")

@@ -6,12 +6,16 @@ known state in a stored table, and a stateful operator for the debounce timer.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.diff import pair_by_content
 from ..sources.paths import base_name, matches, parent
@@ -24,26 +28,41 @@ EVENT = "workspace string, path string, type string, ts timestamp, seq long, has
 def batches(events: DataFrame, by: list[str], order: list[str], ts: str = "ts", quiet: float = QUIET_MS / 1000, ceiling: float = CEILING_MS / 1000) -> DataFrame:
     """``events`` with ``batch``: a batch ends ``quiet`` seconds after its last event or ``ceiling`` after its first.
 
-    Quiet gaps are found by windows; only within a stretch without one is the ceiling applied in turn.
+    ``order`` begins with the time; events without one come first, as one moment.  One shuffle; then each workspace's events pass in order
+    with nothing kept but where its present batch began.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = at - F.lag(at).over(w) >= int(quiet * 1e6)
-    marked = events.withColumn("stretch", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(w))
-    nth = F.row_number().over(Window.partitionBy(*by, "stretch").orderBy(*order))
-    marked = marked.withColumn("nth", nth).withColumn("at", at)
-    times = F.transform(F.array_sort(F.collect_list(F.struct("nth", "at"))), lambda x: x["at"])
-    zero = F.struct(F.lit(None).cast("long").alias("first"), F.lit(-1).alias("b"), F.array().cast("array<int>").alias("all"))
-
-    def step(s: Column, t: Column) -> Column:
-        new = s["first"].isNull() | (t - s["first"] >= int(ceiling * 1e6))
-        b = s["b"] + new.cast("int")
-        return F.struct(F.when(new, t).otherwise(s["first"]).alias("first"), b.alias("b"), F.concat(s["all"], F.array(b)).alias("all"))
-
-    parts = marked.groupBy(*by, "stretch").agg(F.aggregate(times, zero, step)["all"].alias("parts"))
-    joined = marked.join(parts, [*by, "stretch"]).withColumn("part", F.get("parts", F.col("nth") - 1))
-    first = (F.row_number().over(Window.partitionBy(*by, "stretch", "part").orderBy(*order)) == 1).cast("int")
-    return joined.withColumn("starts", first).withColumn("batch", F.sum("starts").over(w) - 1).drop("stretch", "nth", "at", "parts", "part", "starts")
+    columns = events.columns
+    at = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(-(2**62)))
+    rows = events.select(*columns, at.alias("batch")).repartition(*by).sortWithinPartitions(*by, *order)
+    places = [columns.index(c) for c in by]
+    gap, longest = int(quiet * 1e6), int(ceiling * 1e6)
+
+    def run(parts):
+        key = begun = last = number = None
+        for part in parts:
+            t = part.column(len(columns)).to_numpy(zero_copy_only=False)
+            keys = list(zip(*[part.column(i).to_pylist() for i in places])) if places else [()] * len(t)
+            out = np.empty(len(t), np.int64)
+            ends = [*[i for i in range(1, len(t)) if keys[i] != keys[i - 1]], len(t)]
+            i = 0
+            for end in ends:
+                if end == 0:
+                    continue
+                if keys[i] != key:
+                    key, begun, last, number = keys[i], None, None, -1
+                pauses = iter([*(i + 1 + np.flatnonzero(np.diff(t[i:end]) >= gap)).tolist(), end])
+                pause = next(pauses)
+                while i < end:
+                    if begun is None or t[i] - last >= gap or t[i] - begun >= longest:
+                        begun, number = t[i], number + 1
+                    while pause <= i:
+                        pause = next(pauses, end)
+                    stop = min(pause, i + int(np.searchsorted(t[i:end], begun + longest)))
+                    out[i:stop] = number
+                    last, i = t[stop - 1], stop
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(out)], [*columns, "batch"])
+
+    return rows.mapInArrow(run, StructType([*events.schema.fields, StructField("batch", LongType())]))
 
 
 def last_writes(batched: DataFrame, by: list[str], key: str, order: Column) -> DataFrame:
@@ -181,3 +200,20 @@ def watch(stream: DataFrame, state_folder: str, log_folder: str, include=("**/*"
 def entries_of(changes: DataFrame) -> DataFrame:
     """File rows of created and changed paths, as the filesystem writer takes them."""
     return changes.where("kind in ('created', 'changed', 'moved')").select("path", base_name(F.col("path")).alias("name"), parent(F.col("path")).alias("parent"), F.col("hash").alias("content_hash"))
+
+
+def reconcile_periodically(spark: SparkSession, stored, found, act, heartbeat: float = 60.0, every: float = 300.0, by: str = "hybrid"):
+    """A stream that beats each ``heartbeat`` seconds and, if the last run is ``every`` seconds ago or more, hands what differs between the
+    stored files and those found (functions that give ``path, hash, modified``) to ``act``.  The first beat runs."""
+    from ..operators.diff import reconcile
+
+    done = {"at": None}
+
+    def beat(batch: DataFrame, number: int) -> None:
+        now = time.monotonic()
+        if done["at"] is None or now - done["at"] >= every:
+            act(reconcile(stored(), found(), by))
+            done["at"] = now
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(beat).trigger(processingTime=f"{heartbeat} seconds").start()

@@ -106,6 +106,9 @@ def test_python_declarations():
     assert by["d/m.py:METHOD:C/go"]["signature"] == "go(self, a, k, kw) -> int" and by["d/m.py:METHOD:C/go"]["async"] == "true"
     assert by["d/m.py:METHOD:_hidden"]["exported"] == "false"
     assert [r["label"] for r in extract.rows_of("x.py", "python", "def (") if r["part"] == "node"] == ["MODULE", "UNKNOWN"]
+    broken = "a = [\n1,\n]\n@deco\ndef skipped():\n    pass\nclass C:\n    def m(self): pass\ndef bad(:\n    pass\nasync def good(): pass\n"
+    assert [r["key"] for r in extract.rows_of("x.py", "python", broken) if r["part"] == "node"] == ["x.py:MODULE:x.py", "x.py:UNKNOWN:x.py", "x.py:MEMBER:a", "x.py:TYPE_DECL:C", "x.py:METHOD:C/m", "x.py:PARAM:C/m/self:0", "x.py:METHOD:good"]
+    assert [r["props"]["range"] for r in extract.rows_of("x.py", "python", broken) if r.get("label") == "METHOD"][1] == "11:0-11:22"
 
 
 def test_typescript_declarations():
@@ -124,9 +127,55 @@ def test_workspace(spark, tmp_path):
     assert found.counts["directoriesSkipped"] == 1 and found.counts["filesUnsupported"] == 1
     got = {r["path"]: r for r in workspace.load(spark, str(tmp_path), found).collect()}
     assert got["a.py"]["loc"] == 2 and got["README.md"]["language"] == "none" and got["src/b.ts"]["parent"] == "src" and got["src/.hidden.py"]["loc"] == 0
+    (tmp_path / "src/c.js").write_text("class C {}\nfunction f() {}\n")
     store = write.Store(spark, f"file://{tmp_path}/out", "g")
     store.bootstrap()
-    assert workspace.index_workspace(spark, str(tmp_path), store, workspace.define_scope(exclude_extra=("out2/**",)))["files"] >= 4
+    counts = []
+    for _ in range(2):  # indexing again changes nothing
+        told = workspace.index_workspace(spark, str(tmp_path), store)
+        n, e = store.read()
+        counts.append((sorted(map(tuple, n.groupBy("label").count().collect())), e.count(), n.select("label", "key").distinct().count()))
+    assert told["files"] == 5 and counts[0] == counts[1] and sum(c for _, c in counts[0][0]) == counts[0][2]
+    assert [(w["kind"], w["language"], w["files"]) for w in told["warnings"]] == [("unsupported language", "javascript", 1)]
+    assert {r["label"] for r in n.where("file = 'src/c.js'").collect()} == {"MODULE"}
+    (tmp_path / "src/b.ts").write_text("class B { go() {} }")
+    workspace.index_workspace(spark, str(tmp_path), store)
+    assert store.read()[0].where("label = 'METHOD'").count() == 1
+
+
+def test_scopes_from_files_and_older_scans(tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"include": ["**/*.py"], "excludeExtra": ["x/**"], "maxBytes": 5}))
+    scope = workspace.scope_from(str(tmp_path / "c.json"))
+    assert scope.include == ("**/*.py",) and scope.exclude[-1] == "x/**" and scope.max_bytes == 5
+    (tmp_path / "d.json").write_text('{"includes": []}')
+    with pytest.raises(ValueError):
+        workspace.scope_from(str(tmp_path / "d.json"))
+    for name in ("src/a.py", "src/.h.py", "src/node_modules/b.py", "lib/c.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    assert [p for p, _ in workspace.scan_folders(str(tmp_path)).files] == ["src/a.py"]
+
+
+def test_a_change_rewrites_its_buckets_only(spark, tmp_path):
+    store = write.open_store(spark, f"file://{tmp_path}", "g")
+    rows = [node("MODULE", f"f{i}:MODULE:m", f"f{i}", name="m") for i in range(60)] + [node("SYMBOL", "s", fqn="s")]
+    links = [("DEFINES", "MODULE", f"f{i}:MODULE:m", "SYMBOL", "s") for i in range(60)] + [("TARGETS", "MODULE", "f7:MODULE:m", "MODULE", "f3:MODULE:m")]
+    store.save(nodes(spark, *rows), edges(spark, *links))
+    before = store._manifest()
+    for _ in range(2):
+        store.write_delta({"MODULE": nodes(spark, node("MODULE", "f3:MODULE:new", "f3", name="new"))}, {"DEFINES": edges(spark, ("DEFINES", "MODULE", "f3:MODULE:new", "SYMBOL", "s"))}, "f3")
+    after = store._manifest()
+    assert sum(before["nodes"][k] != after["nodes"].get(k) for k in before["nodes"]) == 1 and sum(before["edges"][k] != after["edges"].get(k) for k in before["edges"]) <= 2
+    n, e = store.read()
+    assert {r["key"] for r in n.where("file = 'f3'").collect()} == {"f3:MODULE:new"} and n.count() == 61
+    assert e.where("type = 'TARGETS'").isEmpty() and e.count() == 60
+    store.delete_file("f3")
+    assert store.read()[0].count() == 60 and store.read()[1].count() == 59
+    assert store.configuration()["versions"] == [1, 2, 3, 4, 5]
+    store.clear()
+    assert store.read()[1].isEmpty()
+    with pytest.raises(ValueError):
+        write.open_store(spark, f"file://{tmp_path}", "cpg_test_x")
 
 
 @pytest.mark.parametrize(("pattern", "path", "good"), [("**/a/**", "x/a/y", True), ("*.py", "d/x.py", True), ("/*.py", "d/x.py", False), ("a?c", "abc", True), ("a?c", "a/c", False), ("**/*.ts", "x.ts", True)])
@@ -159,6 +208,110 @@ def test_sanitizers_take_their_classes_only(spark):
     assert {(r["source"], r["sink"], r["class"]) for r in got} == {(1, 4, "DESERIALIZATION")}
 
 
+def test_circles_of_aliases(spark):
+    a = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (6, 8), (1, 2)], "src long, dst long")
+    assert {(r["node"], r["root"]) for r in traverse.canonical(a).collect()} == {(9, 6), (8, 6), (7, 6), (6, 6), (1, 2)}
+
+
+def test_strong_components(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(55)})
+    step = {}
+    for x, y in pairs:
+        step.setdefault(x, []).append(y)
+
+    def reach(x):
+        seen, todo = set(), list(step.get(x, []))
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                todo += step.get(y, [])
+        return seen
+
+    far = {x: reach(x) for x in range(40)}
+    want = {(x, max(y for y in far[x] if x in far[y])) for x in range(40) if x in far[x]}
+    got = traverse.strong_components(spark.createDataFrame(pairs, "src long, dst long")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_communities(spark):
+    import random
+
+    rng = random.Random(2)
+    pairs = [(x, y) for g in range(3) for x in range(g * 8, g * 8 + 8) for y in range(g * 8, x) if rng.random() < 0.7] + [(0, 8), (50, 51)]
+    near = {}
+    for x, y in pairs:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    now, before = {x: x for x in near}, None
+    while True:
+        new = {}
+        for x, others in near.items():
+            votes = {}
+            for y in others:
+                votes[now[y]] = votes.get(now[y], 0) + 1
+            new[x] = min(votes, key=lambda c: (-votes[c], c))
+        if new == now:
+            break
+        if new == before:
+            new = {x: min(new[x], now[x]) for x in new}
+            break
+        before, now = now, new
+    got = {r["node"]: r["community"] for r in traverse.communities(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == new
+
+
+def test_dominators(spark):
+    import random
+
+    rng = random.Random(6)
+    for _ in range(30):
+        pairs = {(str(rng.randrange(10)), str(rng.randrange(10))) for _ in range(16)}
+
+        def reach(without):
+            seen, todo = set(), ["0"] if without != "0" else []
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += [b for a, b in pairs if a == x and b != without]
+            return seen
+
+        there = reach(None)
+        dom = {n: {d for d in there if d != n and n not in reach(d)} for n in there}
+        want = {n: next(d for d in ds if ds - {d} <= dom[d]) for n, ds in dom.items() if ds}
+        assert flow._dominators(list(pairs), "0") == want
+
+
+def test_long_unbounded_paths(spark):
+    from graphloom import cypher
+    from graphloom.graph import Edges, Graph, Nodes
+
+    n = spark.range(20).select("id")
+    g = Graph([Nodes("N", n, "id")], [Edges("E", n.where("id < 19").selectExpr("id as a", "id + 1 as b"), "N", "N", "a", "b")], "long")
+    got = cypher.run(g, spark, "MATCH p = (a:N {id: 0})-[:E*]->(b:N) RETURN length(p) AS n").collect()
+    assert sorted(r["n"] for r in got) == list(range(1, 20))
+
+
+def test_periodic_reconcile(spark):
+    import time
+
+    kind = "path string, hash string, modified long"
+    seen = []
+    q = changes.reconcile_periodically(spark, lambda: spark.createDataFrame([("a", "1", 1)], kind), lambda: spark.createDataFrame([("b", "1", 1)], kind), lambda df: seen.append({tuple(r) for r in df.collect()}), heartbeat=0.5, every=3600)
+    try:
+        for _ in range(80):
+            time.sleep(0.25)
+            if seen and len(q.recentProgress) > 3:
+                break
+        assert seen == [{("a", "delete"), ("b", "add")}]
+    finally:
+        q.stop()
+
+
 def test_canonical_and_cycles(spark):
     a = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "src long, dst long")
     assert {(r["node"], r["root"]) for r in traverse.canonical(a).collect()} == {(1, 3), (2, 3), (5, 6)}

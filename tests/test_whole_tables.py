@@ -6,7 +6,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from graphloom import registry
-from graphloom.plans import algebra
+from graphloom.plans import algebra, star
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
@@ -40,7 +40,11 @@ def suppliers(tmp_path, ids) -> str:
 
 def flows(ids) -> dict:
     """The shortest, then least simple path from each source to each sink (without sanitizers), depth first over all."""
-    step = {a: [b for b in ids if b != a and (b == a + 25 or (a % 3 == 0 and b < a) or (a % 5 == 0 and b > a))] for a in ids}
+    step = {}
+    for a in ids:
+        o = a % star.UNIT
+        called = [a + o + 1] * (2 * o + 1 < star.UNIT) + [a + o + 2] * (2 * o + 2 < star.UNIT) + [a - o + o // 4] * (a % 3 == 0 and o > 0)
+        step[a] = [b for b in called if b in ids]
     best: dict = {}
 
     def walk(path):
@@ -65,22 +69,27 @@ def taint(spark, sf_dir) -> dict:
 
 
 def test_taint_beyond_the_first_suppliers(spark, tmp_path):
-    ids = [33, 58, 213, 238, 303, 328, 302]
+    ids = [i for i in range(1, 330) if i % 10 != 5]
     want = flows(ids)
-    assert (213, 238, "SQL_INJECTION") in want
-    assert taint(spark, suppliers(tmp_path, ids)) == want
+    assert max(a for a, _, _ in want) > 200
+    sf_dir = suppliers(tmp_path, ids)
+    assert taint(spark, sf_dir) == want
+    steps = {(int(a), int(b), k) for p in want.values() for k, (a, b) in enumerate(zip(p.split(">"), p.split(">")[1:]), 1)}
+    assert {tuple(r) for r in QUERIES["tq14_flow_edges"](spark, sf_dir).select("src", "dst", "hop").collect()} == steps
+    assert {(r["source"], r["sink"], r["class"]): r["hops"] for r in QUERIES["tq13_findings"](spark, sf_dir).collect()} == {k: p.count(">") for k, p in want.items()}
 
 
 def test_communities_beyond_the_first_suppliers(spark, tmp_path):
-    assert QUERIES["gt15_communities"](spark, suppliers(tmp_path, [301, 326, 351])).count() > 0
+    assert QUERIES["gt15_communities"](spark, suppliers(tmp_path, range(300, 360))).agg({"size": "sum"}).first()[0] >= 45
 
 
-def test_long_taint_flows(spark, tmp_path):
-    ids = [33, 1, 26, 51, 76, 101, 126, 112, 151, 176, 201, 192]
-    want = flows(ids)
-    assert max(p.count(">") for p in want.values()) > 6
-    sf_dir = suppliers(tmp_path, ids)
-    assert taint(spark, sf_dir) == want
-    steps = {(int(a), int(b), k) for p in want.values() for k, (a, b) in enumerate(zip(p.split(">"), p.split(">")[1:]), 1)}
-    assert {tuple(r) for r in QUERIES["tq14_flow_edges"](spark, sf_dir).select("src", "dst", "hop").collect()} == steps
-    assert {r["hops"] for r in QUERIES["tq13_findings"](spark, sf_dir).collect()} == {p.count(">") for p in want.values()}
+def test_long_taint_flows(spark):
+    from graphloom.operators import taint as T
+
+    n = 15
+    names = ["os.environ.get", *["f"] * (n - 2), "cursor.execute"]
+    nodes = spark.createDataFrame([(i, "python", x) for i, x in enumerate(names)], "id long, language string, name string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(5, 2)], "src long, dst long")
+    found = T.propagate(T.tag(nodes), edges)
+    assert [(r["source"], r["sink"], r["path"]) for r in found.collect()] == [(0, n - 1, list(range(n)))]
+    assert {tuple(r) for r in T.flow_edges(found).collect()} == {(i, i + 1, i + 1) for i in range(n - 1)}
