@@ -1,7 +1,7 @@
 """Control flow of methods, and what follows from it: dominators, control dependence, reaching definitions.
 
 The syntax tree of a method is nested, so its control flow is built by one function for each method
-(``applyInPandas`` over the method's nodes); everything after that is relational or runs inside the same group.
+(over batches of nodes sorted by method); everything after that is relational or runs in the same way.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,24 +95,43 @@ def method_flow(method: str, nodes: dict[str, dict], children: dict[str, list[st
     return out
 
 
-def _by_method(compute: Callable[[str, pd.DataFrame], list[tuple]], columns: list[str]):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *x) for x in compute(key[0], rows)], columns=columns)
+def _by_method(df: DataFrame, compute: Callable[[str, list[dict]], list[tuple]], kind: str) -> DataFrame:
+    """``compute(method, rows)`` for each method; a batch holds many methods, of which one at a time is in memory as rows."""
+    names = [c.split()[0] for c in kind.split(", ")]
+    types = [pa.string()] * len(names)
 
-    return run
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+    def run(batches):
+        method, held = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if row["method"] != method:
+                    if held:
+                        out += [(method, *x) for x in compute(method, held)]
+                    method, held = row["method"], []
+                held.append(row)
+            yield table(out)
+        if held:
+            yield table([(method, *x) for x in compute(method, held)])
+
+    return df.where("method is not null").repartition("method").sortWithinPartitions("method").mapInArrow(run, kind)
 
 
 def control_flow(tree: DataFrame) -> DataFrame:
     """``method, src, dst, kind`` of ``method, id, parent, ord, label, code, control`` (a method's nodes, itself included)."""
-    def compute(method: str, rows: pd.DataFrame):
-        nodes = {r["id"]: r for r in rows.to_dict("records")}
+    def compute(method: str, rows: list[dict]):
+        nodes = {r["id"]: r for r in rows}
         below = defaultdict(list)
-        for r in rows.sort_values("ord", kind="stable").to_dict("records"):
+        for r in sorted(rows, key=lambda r: (r["ord"] is None, r["ord"], r["id"])):
             if r["parent"] in nodes and r["id"] != method:
                 below[r["parent"]].append(r["id"])
         return method_flow(method, nodes, below)
 
-    return tree.groupBy("method").applyInPandas(_by_method(compute, ["method", "src", "dst", "kind"]), CFG)
+    return _by_method(tree.select("method", "id", "parent", "ord", "label", F.substring("code", 1, 64).alias("code"), "control"), compute, CFG)
 
 
 def sequential_flow(steps: DataFrame) -> DataFrame:
@@ -173,18 +192,17 @@ def _dominators(edges: list[tuple[str, str]], root: str) -> dict[str, str]:
 
 def dominators(flow: DataFrame, post: bool = False) -> DataFrame:
     """``method, src, dst``: ``src`` is the immediate (post-)dominator of ``dst``; the whole relation is what these edges lead to."""
-    def compute(method: str, rows: pd.DataFrame):
-        edges = list(zip(rows["src"], rows["dst"]))
-        up = _dominators([(b, a) for a, b in edges], f"{method}:RETURN") if post else _dominators(edges, method)
-        return [(d, n) for n, d in sorted(up.items())]
+    def compute(method: str, rows: list[dict]):
+        edges = [(r["dst"], r["src"]) if post else (r["src"], r["dst"]) for r in rows]
+        return [(d, n) for n, d in sorted(_dominators(edges, f"{method}:RETURN" if post else method).items())]
 
-    return flow.groupBy("method").applyInPandas(_by_method(compute, ["method", "src", "dst"]), "method string, src string, dst string")
+    return _by_method(flow.select("method", "src", "dst"), compute, "method string, src string, dst string")
 
 
 def control_dependence(flow: DataFrame) -> DataFrame:
     """``method, src, dst``: ``dst`` runs depending on the branch taken at ``src``: what lies on the post-dominator tree between a branch's target and the branch."""
-    def compute(method: str, rows: pd.DataFrame):
-        edges = list(zip(rows["src"], rows["dst"]))
+    def compute(method: str, rows: list[dict]):
+        edges = [(r["src"], r["dst"]) for r in rows]
         up = _dominators([(b, a) for a, b in edges], f"{method}:RETURN")
         out = set()
         for a, b in edges:
@@ -193,7 +211,7 @@ def control_dependence(flow: DataFrame) -> DataFrame:
                 b = up.get(b)
         return sorted(out)
 
-    return flow.groupBy("method").applyInPandas(_by_method(compute, ["method", "src", "dst"]), "method string, src string, dst string")
+    return _by_method(flow.select("method", "src", "dst"), compute, "method string, src string, dst string")
 
 
 def reaching_facts(flow: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -223,13 +241,13 @@ def data_dependence(flow: DataFrame, uses: DataFrame) -> DataFrame:
     """
     both = flow.select("method", "src", "dst", F.lit(None).cast("string").alias("variable"), F.lit(None).cast("boolean").alias("defines")).unionByName(uses.select("method", F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), "variable", "defines"))
 
-    def compute(method: str, rows: pd.DataFrame):
+    def compute(method: str, rows: list[dict]):
         steps, gen, used = defaultdict(set), defaultdict(set), defaultdict(set)
-        for r in rows.itertuples(index=False):
-            if r.variable is None:
-                steps[r.src].add(r.dst)
+        for r in rows:
+            if r["variable"] is None:
+                steps[r["src"]].add(r["dst"])
             else:
-                (gen if r.defines else used)[r.src].add(r.variable)
+                (gen if r["defines"] else used)[r["src"]].add(r["variable"])
         reach = defaultdict(set)  # before each step
         todo = [n for n in steps]
         while todo:
@@ -241,7 +259,7 @@ def data_dependence(flow: DataFrame, uses: DataFrame) -> DataFrame:
                     todo.append(m)
         return sorted((d, n, v) for n, names in used.items() for d, v in reach[n] if v in names)
 
-    return both.groupBy("method").applyInPandas(_by_method(compute, ["method", "src", "dst", "variable"]), "method string, src string, dst string, variable string")
+    return _by_method(both, compute, "method string, src string, dst string, variable string")
 
 
 def reaching_definitions(definitions: DataFrame, uses: DataFrame) -> DataFrame:
