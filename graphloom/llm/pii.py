@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import find as find_in
+from .arrays import hashes
 from .common import row_schema, row_struct, scratch, stored
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,8 +39,8 @@ WORD = re.compile(r"[^\W\d_]+")
 NEAR = 6
 #: letters of a term at least, different texts that must hold term and entity together, and the share of information
 TERM_LETTERS, SUPPORT, SHARE = 4, 1, 0.9
-#: revealing pairs (as 64-bit keys), and candidate terms, that may be broadcast at once
-BROADCAST_PAIRS, BROADCAST_TERMS = 2_000_000, 100_000
+#: revealing pairs (as 64-bit keys) that may be broadcast at once, and bits of the map of candidate terms
+BROADCAST_PAIRS, MAP_BITS = 2_000_000, 1 << 25
 #: terms that a task counts before it hands on what it has
 COUNTED_TERMS = 300_000
 
@@ -137,29 +138,36 @@ def contexts(docs: DataFrame) -> DataFrame:
 def term_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n``: the number of texts (rows) that hold each of ``terms``, over all of ``docs``, in one pass over the texts.
 
-    Up to :data:`BROADCAST_TERMS` wanted terms go to the workers, which then count no others; more are joined with the counts of all words.
+    Each task counts its words and hands on those whose hash is set in a bitmap of the wanted terms' hashes, which has one size however many
+    those are; a join then leaves the wanted ones.
     """
     spark = docs.sparkSession
     wanted = stored(terms.select("term").distinct(), "pii-wanted")
-    few = wanted.count() <= BROADCAST_TERMS
-    held = spark.sparkContext.broadcast(frozenset(r[0] for r in wanted.collect())) if few else None
+    place = F.pmod(F.xxhash64("term"), F.lit(MAP_BITS)) + 1  # these functions count from one
+    parts = wanted.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    held = spark.sparkContext.broadcast({r["k"]: bytes(r["bits"]) for r in parts.collect()})  # MAP_BITS bits at most
 
     def run(batches):
-        some, counts = held.value if few else None, Counter()
+        bits = np.zeros(MAP_BITS // 8, np.uint8)
+        for k, part in held.value.items():
+            bits[(k - 1) * len(part) : k * len(part)] = np.frombuffer(part, np.uint8)
+        counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(1).to_pylist():
-                found = WORD.findall(text.lower())
-                counts.update(some.intersection(found) if few else {w for w in found if len(w) >= TERM_LETTERS})
+                counts.update({w for w in WORD.findall(text.lower()) if len(w) >= TERM_LETTERS})
                 if len(counts) > COUNTED_TERMS:
-                    yield rows(counts)
+                    yield rows(counts, bits)
                     counts = Counter()
-        yield rows(counts)
+        yield rows(counts, bits)
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+    def rows(counts: Counter, bits: np.ndarray) -> pa.RecordBatch:
+        # bucket k holds the places from (k - 1) * 32768 on, in order of their bits
+        at = (hashes([w.encode() for w in counts], 42).view(np.int64) % MAP_BITS).astype(np.int64)
+        some = pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]).filter(some)
 
     counts = docs.select("doc_id", "text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return counts if few else counts.join(wanted, "term", "left_semi")
+    return counts.join(wanted, "term", "left_semi")
 
 
 def revealing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:

@@ -206,7 +206,7 @@ def test_personal_data(spark, docs, empty):
 def test_terms_that_reveal(spark, few, monkeypatch):
     if few:
         monkeypatch.setattr(pii, "BROADCAST_PAIRS", 1)
-        monkeypatch.setattr(pii, "BROADCAST_TERMS", 1)
+        monkeypatch.setattr(pii, "MAP_BITS", 1 << 15)
         monkeypatch.setattr(pii, "COUNTED_TERMS", 3)
     rows = [(i, f"Report {i} says manager Zephyrine Quillback ask zq@corp.org about topic number {i}") for i in range(5)]
     rows += [(10 + i, f"Report {i} with the word manager about topic and other things {i}") for i in range(20)]
