@@ -24,7 +24,7 @@ from .common import id_and_text, scratch, stored, sub_batches
 END = b"\n"  # the end token: no word holds white space
 #: training tokens for an n-gram shard and words for a vocabulary shard, on average
 SHARD_TOKENS, SHARD_WORDS = 4_000_000, 500_000
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 8_000_000
 MEMO = 400_000
 ALPHA = 0.1
 
