@@ -1 +1 @@
-"""Column functions of the query surface."""
+"""Scalar functions of the graph engine as column expressions."""

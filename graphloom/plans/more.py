@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..cypher import run, scalar
 from ..cypher.parser import ReadOnlyError, parse
+from ..functions import query as N
+from ..functions import source as M
 from ..operators import diff as D
 from ..operators import taint as T
 from ..operators import traverse as V
@@ -22,7 +24,7 @@ from ..sources import paths as S
 from ..sources import syntax as Y
 from ..sources import workspace as K
 from ..streaming import changes as C
-from .algebra import TREE, _edges, _nodes, files, filesystem
+from .algebra import FILES, TREE, _edges, _nodes, files, filesystem
 from .star import star, table
 
 QUERIES: dict = {}
@@ -295,12 +297,12 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     i = F.col("n_nationkey")
     value = F.when(i % 3 == 1, F.concat(F.lit('a\\b"'), "n_name", F.lit("\n"))).when(i % 3 == 2, i.cast("string"))
-    return table(spark, sf_dir, "nation").select(i.alias("id"), O.query_value(value).alias("value"))
+    return table(spark, sf_dir, "nation").select(i.alias("id"), N.query_value(value).alias("value"))
 
 
 @query("fn11_parameters", """SELECT 'CYPHER a=1 b="x\\"y" c=[true, null] d={k: 2.5} ' AS prefix""")
 def _(spark, sf_dir):
-    return rows(spark, [(O.parameter_prefix({"a": 1, "b": 'x"y', "c": [True, None], "d": {"k": 2.5}}),)], "prefix string")
+    return rows(spark, [(N.parameter_prefix({"a": 1, "b": 'x"y', "c": [True, None], "d": {"k": 2.5}}),)], "prefix string")
 
 
 @query("ag6_scalar", "SELECT count(*) AS customers, CAST(0 AS BIGINT) AS none FROM customer")
@@ -326,13 +328,13 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     i = F.col("p_partkey")
     text = F.when(i % 4 == 0, F.concat(F.lit('"""\n  Part '), i, F.lit('\n\n  More.\n"""'))).when(i % 4 == 1, F.lit("'one line'")).when(i % 4 == 2, F.lit("r'''raw\nx'''")).otherwise(F.lit('""""""'))
-    return table(spark, sf_dir, "part").select(i.alias("id"), E.docstring_head(text).alias("head"))
+    return table(spark, sf_dir, "part").select(i.alias("id"), M.docstring_head(text).alias("head"))
 
 
 @query("fn17_visibility", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'private' WHEN 1 THEN 'protected' WHEN 2 THEN 'protected' ELSE 'public' END AS python, CASE p_partkey % 4 WHEN 0 THEN 'private' WHEN 1 THEN 'protected' ELSE 'public' END AS typescript FROM part")
 def _(spark, sf_dir):
     pick = lambda *xs: F.get(F.array(*[F.lit(x) for x in xs]), (F.col("p_partkey") % 4).cast("int"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), E.python_visibility(pick("__x", "_x", "__init__", "x")).alias("python"), E.typescript_visibility(pick("private static", "readonly protected", "public", "")).alias("typescript"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), M.python_visibility(pick("__x", "_x", "__init__", "x")).alias("python"), M.typescript_visibility(pick("private static", "readonly protected", "public", "")).alias("typescript"))
 
 
 @query("fn18_weight", "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 4.0 WHEN 1 THEN 3.0 WHEN 2 THEN 1.5 WHEN 3 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM part")
@@ -403,6 +405,21 @@ def _(spark, sf_dir):
     return Y.find_symbol(Y.symbols(Y.syntax_tree(_sources(spark, sf_dir))), "go")
 
 
+@query("ex11_changed_files", f"WITH {FILES} SELECT path FROM f WHERE doc_id % 5 = 0 OR doc_id % 7 = 0")
+def _(spark, sf_dir):
+    f = files(spark, sf_dir).withColumnRenamed("hash", "content_hash")
+    known = f.where("doc_id % 5 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("content_hash")))
+    return E.changed_files(f, known).select("path")
+
+
+@query("snk9_snapshots", "SELECT 'p/' || p_partkey || '.py' AS file, 9 AS first, 'LITERAL' AS label FROM part")
+def _(spark, sf_dir):
+    text = F.concat(F.lit("\n" * 8), F.lit("12 + f("), "p_partkey", F.lit(")\n"))
+    found = table(spark, sf_dir, "part").select(F.concat(F.lit("p/"), "p_partkey", F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"))
+    node = F.get(F.from_json("tree", "array<struct<line:int,label:string>>"), F.lit(0))
+    return Y.snapshot(Y.syntax_tree(found)).select("file", node["line"].alias("first"), node["label"].alias("label"))
+
+
 # control flow of one shape for each size of part
 
 #: rows (id, parent, order, label, code) below the method's block ``b``, and the flow that they give

@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OUT = "part string, label string, key string, file string, props map<string,string>, type string, from_label string, from_key string, to_label string, to_key string"
@@ -308,18 +308,6 @@ def warnings(files: DataFrame) -> DataFrame:
     return other.groupBy(F.lit("unsupported language").alias("kind"), "language").agg(F.min("path").alias("first"), F.count("*").alias("files"))
 
 
-def python_visibility(name: Column) -> Column:
-    """Of a Python name: two leading underscores (and none at the end) are private, other leading ones protected."""
-    return F.when(name.rlike("^__") & ~name.rlike("__$"), "private").when(name.startswith("_"), "protected").otherwise("public")
-
-
-def typescript_visibility(modifiers: Column) -> Column:
-    """By the modifiers before a member's name; public without one."""
-    return F.coalesce(F.when(modifiers.rlike(r"\bprivate\b"), "private").when(modifiers.rlike(r"\bprotected\b"), "protected"), F.lit("public"))
-
-
-def docstring_head(text: Column) -> Column:
-    """The first line of a docstring's source text, without its quotes and prefix; null if there is none."""
-    inner = F.regexp_extract(F.trim(text), r"(?s)^[rRbBuUfF]{0,2}(\"{3}|'{3}|\"|')(.*)\1$", 2)
-    line = F.trim(F.substring_index(F.regexp_replace(inner, r"^\s+", ""), "\n", 1))
-    return F.when(line != "", line)
+def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """The files (``path, content_hash, ..``) to parse again: new ones, and those whose content is not the known one (``path, content_hash``)."""
+    return files.join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti").select(files.columns)

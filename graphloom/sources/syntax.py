@@ -118,6 +118,12 @@ def tree_edges(tree: DataFrame) -> DataFrame:
     return below.unionByName(tree.select(F.lit("SOURCE_FILE").alias("type"), F.col("id").alias("src"), F.col("file").alias("dst"), F.lit(None).cast("int").alias("ord")))
 
 
+def snapshot(tree: DataFrame) -> DataFrame:
+    """``file, tree``: a file's whole syntax tree as one JSON text, in order of position."""
+    node = F.struct("line", "col", "id", "label", "name", "parent", "ord")
+    return tree.groupBy("file").agg(F.to_json(F.sort_array(F.collect_list(node)), {"ignoreNullFields": "false"}).alias("tree"))
+
+
 def shown_code(c: Column) -> Column:
     """A node's text as the tree holds it."""
     return F.substring(c, 1, CODE)

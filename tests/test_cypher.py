@@ -69,3 +69,25 @@ def test_explain_prunes_and_pushes(spark, small):
 
     text = explain(star(spark, small), spark, "MATCH (c:CUSTOMER) WHERE c.balance > 100 RETURN c.id AS id")
     assert "GreaterThan(c_acctbal,100.0)" in text and "c_mktsegment" not in text
+
+
+def test_patterns_linked_by_equality_are_joined(spark, graph):
+    text = "MATCH (a:N), (b:T) WHERE a.n + 8 = b.n RETURN a.id AS a, b.id AS b"
+    assert rows(spark, graph, text) == [("a", "t")]
+    plan = explain(graph, spark, text)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_scalar(spark, graph):
+    from graphloom.cypher import scalar
+
+    assert scalar(graph, spark, "MATCH (n:N) RETURN count(n) AS n") == 3
+    assert scalar(graph, spark, "MATCH (n:N {id: 'none'}) RETURN n.n AS n") == 0
+
+
+def test_tables_are_opened_when_needed(spark):
+    from graphloom.graph import Nodes as Table
+
+    opened = []
+    g = Graph([Table(x, lambda x=x: opened.append(x) or spark.createDataFrame([("a",)], "id string"), "id") for x in ("A", "B")], [])
+    assert rows(spark, g, "MATCH (a:A) RETURN a.id AS id") == [("a",)] and opened == ["A"]
