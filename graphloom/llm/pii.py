@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ NEAR = 6
 TERM_LETTERS, SUPPORT, SHARE = 4, 1, 0.9
 #: revealing pairs (as 64-bit keys) that may be broadcast at once, and bits of the map of candidate terms
 BROADCAST_PAIRS, MAP_BITS = 2_000_000, 1 << 25
-#: terms that a task counts before it hands on what it has
+#: words that a task counts before it looks which of them are wanted; half as many wanted ones are handed on
 COUNTED_TERMS = 300_000
 
 
@@ -138,7 +139,7 @@ def contexts(docs: DataFrame) -> DataFrame:
 def term_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n``: the number of texts (rows) that hold each of ``terms``, over all of ``docs``, in one pass over the texts.
 
-    Each task counts its words and hands on those whose hash is set in a bitmap of the wanted terms' hashes, which has one size however many
+    Each task counts its words and keeps those whose hash is set in a bitmap of the wanted terms' hashes, which has one size however many
     those are; a join then leaves the wanted ones.
     """
     spark = docs.sparkSession
@@ -151,20 +152,26 @@ def term_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
         bits = np.zeros(MAP_BITS // 8, np.uint8)
         for k, part in held.value.items():
             bits[(k - 1) * len(part) : k * len(part)] = np.frombuffer(part, np.uint8)
-        counts: Counter = Counter()
+        counts, kept = Counter(), Counter()
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 counts.update({w for w in WORD.findall(text.lower()) if len(w) >= TERM_LETTERS})
-                if len(counts) > COUNTED_TERMS:
-                    yield rows(counts, bits)
+                if len(counts) + len(kept) > COUNTED_TERMS:
+                    kept.update(chosen(counts, bits))
                     counts = Counter()
-        yield rows(counts, bits)
+                    if 2 * len(kept) > COUNTED_TERMS:
+                        yield rows(kept)
+                        kept = Counter()
+        kept.update(chosen(counts, bits))
+        yield rows(kept)
 
-    def rows(counts: Counter, bits: np.ndarray) -> pa.RecordBatch:
+    def chosen(counts: Counter, bits: np.ndarray) -> dict[str, int]:
         # bucket k holds the places from (k - 1) * 32768 on, in order of their bits
         at = (hashes([w.encode() for w in counts], 42).view(np.int64) % MAP_BITS).astype(np.int64)
-        some = pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"]).filter(some)
+        return dict(compress(counts.items(), (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist()))
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     counts = docs.select("doc_id", "text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     return counts.join(wanted, "term", "left_semi")
