@@ -324,6 +324,28 @@ def test_kneser_ney(spark, docs, empty, monkeypatch):
     assert {r["score"] for r in kneser_ney.score(docs.limit(2), nothing).collect()} == {0.0}
 
 
+def test_kneser_ney_tasks_that_run_again(spark, docs, monkeypatch):
+    """A task that is lost and runs again hands on the same rows: names, n-grams and places, not only the same sums."""
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 700)
+    monkeypatch.setattr(kneser_ney, "SHARD_WORDS", 100)
+    model = kneser_ney.train(docs)
+    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(3, "text")
+    asked = given.mapInArrow(kneser_ney._ask(model), "shard int, chunk string, docs int, base binary, heads binary, keys binary, counts binary, at binary")
+    first, again = (sorted(map(tuple, asked.collect()), key=repr) for _ in range(2))
+    assert first == again and len({r[1] for r in first}) == 3
+    heads = [r[0] for r in first if r[3] is not None]
+    assert len(heads) == 3 and 0 <= min(heads) and max(heads) < model["shards"]
+
+
+def test_counts_of_any_size(tmp_path):
+    from graphloom.llm import arrays
+
+    for most in (0, 255, 256, 2**32 - 1, 2**32, 2**40):
+        arrays.put_counts(f"file://{tmp_path}/c-{most}", np.array([1, most]))
+        assert arrays.mapped_counts(f"file://{tmp_path}/c-{most}").tolist() == [1, most]
+    assert len(arrays.mapped_counts(f"file://{tmp_path}/none")) == 0
+
+
 def _nearest(rows, k=10):
     good = [(i, np.array(x, "f8")) for i, x in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x) and any(x)]
     for i, x in good:
