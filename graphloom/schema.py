@@ -9,61 +9,14 @@ from pyspark.sql import types as T
 
 VERSION = 2
 
-# The vocabularies, labels, edge types and properties of the schema.
-RESOLUTION_STATUS = ("resolved", "ambiguous", "external", "unresolved", "dynamic")
-NODE_STATUS = ("ready", "indexing", "stale", "error")
-INHERITS_RELATION = ("extends", "implements")
-TYPE_DECL_KIND = ("class", "interface", "enum", "type_alias", "protocol", "dataclass")
-METHOD_KIND = ("function", "method", "constructor", "getter", "setter", "lambda_named")
-CALL_KIND = ("call", "new", "decorator", "await")
-ENUMS = {("*", "status"): NODE_STATUS, ("CALL", "status"): RESOLUTION_STATUS, ("CALL", "kind"): CALL_KIND, ("METHOD", "kind"): METHOD_KIND, ("TYPE_DECL", "kind"): TYPE_DECL_KIND, ("CALLS", "status"): RESOLUTION_STATUS, ("IMPORTS", "status"): RESOLUTION_STATUS, ("INHERITS_FROM", "relation"): INHERITS_RELATION}
-
-# label: (file-scoped co-label?, key, write mechanism, properties; * marks required ones, the type follows a colon)
-NODES = {
-    "DIRECTORY": (False, "path", "merge", "path* name* status*"),
-    "FILE": (False, "path", "merge", "path* name* language* content_hash* interface_hash status* version*:int indexed_at loc:int"),
-    "MODULE": (True, "id", "create", "id* name* file* range* status*"),
-    "TYPE_DECL": (True, "id", "create", "id* name* kind* file* range* exported*:bool docstring_head status* structural*:bool"),
-    "METHOD": (True, "id", "create", "id* name* kind* signature* params_count*:int file* range* exported*:bool async*:bool docstring_head status* cyclomatic_complexity:int max_nesting_depth:int loc:int visibility generator:bool"),
-    "PARAM": (True, "id", "create", "id* name* ordinal*:int type_text default file*"),
-    "MEMBER": (True, "id", "create", "id* name* type_text file* range* visibility"),
-    "CALL": (True, "id", "create", "id* callee_name* receiver_text args_count*:int file* range* kind* status*"),
-    "IMPORT": (True, "id", "create", "id* source_text* imported_names:list alias is_type_only*:bool file* range*"),
-    "SYMBOL": (False, "fqn", "merge", "fqn* scheme manager package version kind language"),
-    "COMMUNITY": (False, "id", "overlay", "id* algorithm* run_id* size*:int cohesion:float computed_at* label_hint projection edge_basis level:int"),
-    "TAG": (False, "name", "merge", "name* value"),
-    "UNKNOWN": (True, "id", "create", "id* reason file* range status*"),
-    "META_DATA": (False, "", "merge", "schema_version*:int engine_version* overlays:list created_at*"),
-}
-
-# type: (from labels, to labels, write mechanism, properties)
-EDGES = {
-    "HAS_ENTRY": ("DIRECTORY", "DIRECTORY FILE", "move", ""),
-    "DECLARES": ("MODULE TYPE_DECL METHOD", "TYPE_DECL METHOD MEMBER IMPORT", "create", ""),
-    "HAS_PARAM": ("METHOD", "PARAM", "create", ""),
-    "DEFINES": ("MODULE TYPE_DECL METHOD MEMBER PARAM", "SYMBOL", "create", ""),
-    "CALLS": ("CALL", "SYMBOL", "create", "status* reason confidence:float resolvedBy"),
-    "IN_SCOPE": ("CALL", "METHOD MODULE", "create", ""),
-    "IMPORTS": ("IMPORT", "SYMBOL", "create", "status*"),
-    "INHERITS_FROM": ("TYPE_DECL", "SYMBOL", "create", "relation*"),
-    "MEMBER_OF": ("FILE METHOD TYPE_DECL", "COMMUNITY", "overlay", "run_id*"),
-    "ALIAS_OF": ("SYMBOL", "SYMBOL", "merge", ""),
-    "TAGGED_BY": ("SYMBOL MEMBER CALL", "TAG", "merge", ""),
-    "TARGETS": ("CALL IMPORT TYPE_DECL", "METHOD TYPE_DECL", "overlay", "computed_at* run_id*"),
-    "DEPENDS_ON": ("FILE", "FILE", "overlay", "computed_at* run_id*"),
-    "REACHING_DEF": ("MEMBER PARAM", "CALL", "create", "variable*"),
-}
-INDEXES = (("CPG", "id"), ("CPG", "file"), ("FILE", "path"), ("DIRECTORY", "path"), ("SYMBOL", "fqn"))
-CONSTRAINTS = (("SYMBOL", "fqn"),)
-
 TYPES = {"string": T.StringType(), "int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType(), "list": T.ArrayType(T.StringType())}
 
 
 @dataclass(frozen=True)
 class Property:
     name: str
-    type: str
-    required: bool
+    type: str = "string"
+    required: bool = False
     values: tuple[str, ...] = ()
 
 
@@ -85,18 +38,180 @@ class EdgeSpec:
     properties: tuple[Property, ...]
 
 
-def _properties(owner: str, text: str) -> tuple[Property, ...]:
-    out = []
-    for part in text.split():
-        name, _, kind = part.partition(":")
-        plain = name.rstrip("*")
-        general = ENUMS.get(("*", plain), ()) if owner in NODES else ()
-        out.append(Property(plain, kind or "string", name.endswith("*"), ENUMS.get((owner, plain), general)))
-    return tuple(out)
+# The vocabularies, labels, edge types and properties of the schema.
+RESOLUTION_STATUS = ("resolved", "ambiguous", "external", "unresolved", "dynamic")
+NODE_STATUS = ("ready", "indexing", "stale", "error")
+INHERITS_RELATION = ("extends", "implements")
+TYPE_DECL_KIND = ("class", "interface", "enum", "type_alias", "protocol", "dataclass")
+METHOD_KIND = ("function", "method", "constructor", "getter", "setter", "lambda_named")
+CALL_KIND = ("call", "new", "decorator", "await")
+
+NODE_SPECS = {
+    "DIRECTORY": NodeSpec("DIRECTORY", cpg=False, key="path", write="merge", properties=(
+        Property("path", required=True),
+        Property("name", required=True),
+        Property("status", required=True, values=NODE_STATUS),
+    )),
+    "FILE": NodeSpec("FILE", cpg=False, key="path", write="merge", properties=(
+        Property("path", required=True),
+        Property("name", required=True),
+        Property("language", required=True),
+        Property("content_hash", required=True),
+        Property("interface_hash"),
+        Property("status", required=True, values=NODE_STATUS),
+        Property("version", type="int", required=True),
+        Property("indexed_at"),
+        Property("loc", type="int"),
+    )),
+    "MODULE": NodeSpec("MODULE", cpg=True, key="id", write="create", properties=(
+        Property("id", required=True),
+        Property("name", required=True),
+        Property("file", required=True),
+        Property("range", required=True),
+        Property("status", required=True, values=NODE_STATUS),
+    )),
+    "TYPE_DECL": NodeSpec("TYPE_DECL", cpg=True, key="id", write="create", properties=(
+        Property("id", required=True),
+        Property("name", required=True),
+        Property("kind", required=True, values=TYPE_DECL_KIND),
+        Property("file", required=True),
+        Property("range", required=True),
+        Property("exported", type="bool", required=True),
+        Property("docstring_head"),
+        Property("status", required=True, values=NODE_STATUS),
+        Property("structural", type="bool", required=True),
+    )),
+    "METHOD": NodeSpec("METHOD", cpg=True, key="id", write="create", properties=(
+        Property("id", required=True),
+        Property("name", required=True),
+        Property("kind", required=True, values=METHOD_KIND),
+        Property("signature", required=True),
+        Property("params_count", type="int", required=True),
+        Property("file", required=True),
+        Property("range", required=True),
+        Property("exported", type="bool", required=True),
+        Property("async", type="bool", required=True),
+        Property("docstring_head"),
+        Property("status", required=True, values=NODE_STATUS),
+        Property("cyclomatic_complexity", type="int"),
+        Property("max_nesting_depth", type="int"),
+        Property("loc", type="int"),
+        Property("visibility"),
+        Property("generator", type="bool"),
+    )),
+    "PARAM": NodeSpec("PARAM", cpg=True, key="id", write="create", properties=(
+        Property("id", required=True),
+        Property("name", required=True),
+        Property("ordinal", type="int", required=True),
+        Property("type_text"),
+        Property("default"),
+        Property("file", required=True),
+    )),
+    "MEMBER": NodeSpec("MEMBER", cpg=True, key="id", write="create", properties=(
+        Property("id", required=True),
+        Property("name", required=True),
+        Property("type_text"),
+        Property("file", required=True),
+        Property("range", required=True),
+        Property("visibility"),
+    )),
+    "CALL": NodeSpec("CALL", cpg=True, key="id", write="create", properties=(
+        Property("id", required=True),
+        Property("callee_name", required=True),
+        Property("receiver_text"),
+        Property("args_count", type="int", required=True),
+        Property("file", required=True),
+        Property("range", required=True),
+        Property("kind", required=True, values=CALL_KIND),
+        Property("status", required=True, values=RESOLUTION_STATUS),
+    )),
+    "IMPORT": NodeSpec("IMPORT", cpg=True, key="id", write="create", properties=(
+        Property("id", required=True),
+        Property("source_text", required=True),
+        Property("imported_names", type="list"),
+        Property("alias"),
+        Property("is_type_only", type="bool", required=True),
+        Property("file", required=True),
+        Property("range", required=True),
+    )),
+    "SYMBOL": NodeSpec("SYMBOL", cpg=False, key="fqn", write="merge", properties=(
+        Property("fqn", required=True),
+        Property("scheme"),
+        Property("manager"),
+        Property("package"),
+        Property("version"),
+        Property("kind"),
+        Property("language"),
+    )),
+    "COMMUNITY": NodeSpec("COMMUNITY", cpg=False, key="id", write="overlay", properties=(
+        Property("id", required=True),
+        Property("algorithm", required=True),
+        Property("run_id", required=True),
+        Property("size", type="int", required=True),
+        Property("cohesion", type="float"),
+        Property("computed_at", required=True),
+        Property("label_hint"),
+        Property("projection"),
+        Property("edge_basis"),
+        Property("level", type="int"),
+    )),
+    "TAG": NodeSpec("TAG", cpg=False, key="name", write="merge", properties=(
+        Property("name", required=True),
+        Property("value"),
+    )),
+    "UNKNOWN": NodeSpec("UNKNOWN", cpg=True, key="id", write="create", properties=(
+        Property("id", required=True),
+        Property("reason"),
+        Property("file", required=True),
+        Property("range"),
+        Property("status", required=True, values=NODE_STATUS),
+    )),
+    "META_DATA": NodeSpec("META_DATA", cpg=False, key="", write="merge", properties=(
+        Property("schema_version", type="int", required=True),
+        Property("engine_version", required=True),
+        Property("overlays", type="list"),
+        Property("created_at", required=True),
+    )),
+}
 
+EDGE_SPECS = {
+    "HAS_ENTRY": EdgeSpec("HAS_ENTRY", sources=("DIRECTORY",), targets=("DIRECTORY", "FILE"), write="move", properties=()),
+    "DECLARES": EdgeSpec("DECLARES", sources=("MODULE", "TYPE_DECL", "METHOD"), targets=("TYPE_DECL", "METHOD", "MEMBER", "IMPORT"), write="create", properties=()),
+    "HAS_PARAM": EdgeSpec("HAS_PARAM", sources=("METHOD",), targets=("PARAM",), write="create", properties=()),
+    "DEFINES": EdgeSpec("DEFINES", sources=("MODULE", "TYPE_DECL", "METHOD", "MEMBER", "PARAM"), targets=("SYMBOL",), write="create", properties=()),
+    "CALLS": EdgeSpec("CALLS", sources=("CALL",), targets=("SYMBOL",), write="create", properties=(
+        Property("status", required=True, values=RESOLUTION_STATUS),
+        Property("reason"),
+        Property("confidence", type="float"),
+        Property("resolvedBy"),
+    )),
+    "IN_SCOPE": EdgeSpec("IN_SCOPE", sources=("CALL",), targets=("METHOD", "MODULE"), write="create", properties=()),
+    "IMPORTS": EdgeSpec("IMPORTS", sources=("IMPORT",), targets=("SYMBOL",), write="create", properties=(
+        Property("status", required=True, values=RESOLUTION_STATUS),
+    )),
+    "INHERITS_FROM": EdgeSpec("INHERITS_FROM", sources=("TYPE_DECL",), targets=("SYMBOL",), write="create", properties=(
+        Property("relation", required=True, values=INHERITS_RELATION),
+    )),
+    "MEMBER_OF": EdgeSpec("MEMBER_OF", sources=("FILE", "METHOD", "TYPE_DECL"), targets=("COMMUNITY",), write="overlay", properties=(
+        Property("run_id", required=True),
+    )),
+    "ALIAS_OF": EdgeSpec("ALIAS_OF", sources=("SYMBOL",), targets=("SYMBOL",), write="merge", properties=()),
+    "TAGGED_BY": EdgeSpec("TAGGED_BY", sources=("SYMBOL", "MEMBER", "CALL"), targets=("TAG",), write="merge", properties=()),
+    "TARGETS": EdgeSpec("TARGETS", sources=("CALL", "IMPORT", "TYPE_DECL"), targets=("METHOD", "TYPE_DECL"), write="overlay", properties=(
+        Property("computed_at", required=True),
+        Property("run_id", required=True),
+    )),
+    "DEPENDS_ON": EdgeSpec("DEPENDS_ON", sources=("FILE",), targets=("FILE",), write="overlay", properties=(
+        Property("computed_at", required=True),
+        Property("run_id", required=True),
+    )),
+    "REACHING_DEF": EdgeSpec("REACHING_DEF", sources=("MEMBER", "PARAM"), targets=("CALL",), write="create", properties=(
+        Property("variable", required=True),
+    )),
+}
 
-NODE_SPECS = {k: NodeSpec(k, cpg, key, write, _properties(k, text)) for k, (cpg, key, write, text) in NODES.items()}
-EDGE_SPECS = {k: EdgeSpec(k, tuple(a.split()), tuple(b.split()), write, _properties(k, text)) for k, (a, b, write, text) in EDGES.items()}
+INDEXES = (("CPG", "id"), ("CPG", "file"), ("FILE", "path"), ("DIRECTORY", "path"), ("SYMBOL", "fqn"))
+CONSTRAINTS = (("SYMBOL", "fqn"),)
 
 
 def struct(spec: NodeSpec | EdgeSpec) -> T.StructType:
