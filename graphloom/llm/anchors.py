@@ -8,8 +8,6 @@ an anchor's gram, and lies inside that anchor's segment: the words up to a windo
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 
 import numpy as np
@@ -18,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, stored, sub_batches
+from .common import attach, give_back, kept, stored, sub_batches
 
 WINDOW, GRAM = 50, 10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -98,6 +96,7 @@ def _profile(window: int, gram: int):
     kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
+        kept("anchors")
         for batch in batches:
             for part in sub_batches(batch, 1):
                 n, key, sha, offsets, cols = [], [], [], [0], [[], [], [], []]
@@ -241,6 +240,7 @@ def by_shard(work):
 
     def run(batches):
         shard, entries = None, {}
+        kept("anchors")
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns]
             for row in zip(*cols):
@@ -269,10 +269,3 @@ def squeezed(rows):
             held = [seg, a, b, first]
     if held:
         yield tuple(held)
-
-
-def give_back() -> None:
-    """Return freed memory to the system: workers are used again by later stages."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)

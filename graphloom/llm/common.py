@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,6 +40,29 @@ class MemoTable(dict):
             self.clear()
 
 
+#: what a worker process keeps from task to task
+_KEPT: dict = {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def kept(owner: str, key=None, make: Callable = lambda: None):
+    """``make()``, kept in the worker for later tasks of the same operator and key.
+
+    A worker serves many stages; what another operator has kept is let go first, so memory does not add up over stages.
+    """
+    if _KEPT.get("for") != (owner, key):
+        _KEPT.clear()
+        give_back()
+        _KEPT.update({"for": (owner, key), "value": make()})
+    return _KEPT["value"]
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that text operators read, under fixed names; null texts become empty."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -53,12 +78,13 @@ def row_schema(docs: DataFrame) -> str:
     return docs.schema.simpleString()
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text_at: int = 1) -> DataFrame:
+    """Apply ``fn`` to parts of the Arrow batches, with a bounded amount of text (column ``text_at``) each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield fn(batch)
+            for part in sub_batches(batch, text_at):
+                yield fn(part)
 
     return df.mapInArrow(run, schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mapped, put, runs
-from .common import row_schema, row_struct, scratch, stored, sub_batches
+from .common import kept, row_schema, row_struct, scratch, stored, sub_batches
 
 WINDOW = 10
 #: words of the items that one automaton holds on average, and bytes of texts that are held for several of them
@@ -166,15 +166,9 @@ def _sizes(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], ["id", "text", "n"])
 
 
-_OPEN: dict[str, SuffixAutomaton] = {}
-
-
 def opened(path: str) -> SuffixAutomaton:
     """An automaton; each worker process holds one at a time."""
-    if path not in _OPEN:
-        _OPEN.clear()
-        _OPEN[path] = pickle.loads(mapped(path, "u1"))
-    return _OPEN[path]
+    return kept("decontaminate", path, lambda: pickle.loads(mapped(path, "u1")))
 
 
 SPANS = "array<struct<start:long,end:long>>"

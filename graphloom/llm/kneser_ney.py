@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import find, hashes, mapped, mapped_counts, put, put_counts, runs
-from .common import id_and_text, scratch, stored, sub_batches
+from .common import id_and_text, kept, scratch, stored, sub_batches
 
 END = b"\n"  # the end token: no word holds white space
 #: training tokens for an n-gram shard and words for a vocabulary shard, on average
@@ -126,15 +126,9 @@ class Vocabulary:
         return out
 
 
-_OPEN: dict[str, Vocabulary] = {}
-
-
 def vocabulary(model: dict) -> Vocabulary:
     """One for each worker process and model."""
-    if model["path"] not in _OPEN:
-        _OPEN.clear()
-        _OPEN[model["path"]] = Vocabulary(model["path"], model["starts"], model["bits"])
-    return _OPEN[model["path"]]
+    return kept("kneser-ney", model["path"], lambda: Vocabulary(model["path"], model["starts"], model["bits"]))
 
 
 def _count_words(batches):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import find, hashes, mapped, put
-from .common import scratch, stored, sub_batches
+from .common import kept, scratch, stored, sub_batches
 
 ORDERS = (4, 3, 2, 1)
 LETTER = regex.compile(r"\p{L}")
@@ -123,15 +123,9 @@ class Model:
         return out
 
 
-_OPEN: dict[str, Model] = {}
-
-
 def opened(model: Model) -> Model:
     """One for each worker process and model, so what is mapped and remembered serves all its tasks."""
-    if model.path not in _OPEN:
-        _OPEN.clear()
-        _OPEN[model.path] = model
-    return _OPEN[model.path]
+    return kept("language", model.path, lambda: model)
 
 
 def _count(batches):

@@ -9,7 +9,6 @@ is shortened.  The merge result is the only sequence whose neighbours are all co
 
 from __future__ import annotations
 
-import functools
 import re
 import sys
 from array import array
@@ -18,7 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import MemoTable, id_and_text, map_batches, sub_batches
+from .common import MemoTable, id_and_text, kept, sub_batches
 
 BLANK = "▁"
 MEMO = 200_000
@@ -155,9 +154,8 @@ class PieceCodec:
         return ids, b"".join([f[1] for f in found])[1:].decode(errors="replace")
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+    return kept("pieces", path, lambda: PieceCodec(path))
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,9 +168,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
 
     def run(batches):
+        model = codec(path)
         for batch in batches:
             for part in sub_batches(batch, 1):
-                found = [codec(path).coded(t) for t in part.column(1).to_pylist()]
+                found = [model.coded(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(f[0]) // 4 for f in found], pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())],
                     ["doc_id", "n_tokens", "ids", "decoded"],

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .arrays import find as find_in
 from .arrays import hashes
-from .common import row_schema, row_struct, scratch, stored
+from .common import give_back, row_schema, row_struct, scratch, stored, sub_batches
+from .common import kept as kept_for
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base kinds.
@@ -124,6 +125,7 @@ def contexts(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        kept_for("pii")
         for batch in batches:
             out: list[tuple[int, str, int]] = []
             for text in batch.column(1).to_pylist():
@@ -149,6 +151,7 @@ def term_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
     held = spark.sparkContext.broadcast({r["k"]: bytes(r["bits"]) for r in parts.collect()})  # MAP_BITS bits at most
 
     def run(batches):
+        kept_for("pii")
         bits = np.zeros(MAP_BITS // 8, np.uint8)
         for k, part in held.value.items():
             bits[(k - 1) * len(part) : k * len(part)] = np.frombuffer(part, np.uint8)
@@ -164,6 +167,8 @@ def term_rows(docs: DataFrame, terms: DataFrame) -> DataFrame:
                         kept = Counter()
         kept.update(chosen(counts, bits))
         yield rows(kept)
+        counts, kept = Counter(), Counter()
+        give_back()
 
     def chosen(counts: Counter, bits: np.ndarray) -> dict[str, int]:
         # bucket k holds the places from (k - 1) * 32768 on, in order of their bits
@@ -261,7 +266,8 @@ def _spans(held, clean: bool):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in batches:
+        kept_for("pii")
+        for batch in (part for b in batches for part in sub_batches(b, 1)):
             texts = batch.column(1).to_pylist()
             own = batch.column(2).to_pylist()
             found = []

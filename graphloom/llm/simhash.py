@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, id_and_text, map_batches, stored
+from .common import attach, id_and_text, kept, map_batches, stored
 
 #: members of a key above which it is refined, and of a refined key above which neighbours are looked up
 CROWDED = 1024
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     """``doc_id, fp`` (a signed long with the fingerprint's bits) of every whole text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept("simhash")
         bits = b"".join([fingerprint(t, words) for t in batch.column(1).to_pylist()])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(bits, ">i8").astype("<i8"))], ["doc_id", "fp"])
 

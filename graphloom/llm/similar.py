@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, id_and_text, map_batches, stored
+from .common import attach, give_back, id_and_text, kept, map_batches, stored
 from .simhash import components, links, majority, shingle_hashes
 
 #: a pair at 0.8 meets in no band with a chance of (1 - 0.8 ** ROWS) ** BANDS = 0.00006
@@ -78,10 +78,11 @@ def _rows(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, raw, node, fp, keys, text`` of every text; equal words have equal nodes, equal texts equal hashes ``raw``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingles(t, words) for t in batch.column(1).to_pylist()]
+        kept("simhash")
+        found = [(n, f, band_keys(h)) for n, f, h in (shingles(t, words) for t in batch.column(1).to_pylist())]
         nodes = pa.array(np.array([n for n, _, _ in found], "u8").view("i8"))
         fps = pa.array(np.frombuffer(b"".join(f for _, f, _ in found), ">i8").astype("<i8"))
-        keys = pa.array([band_keys(h) for _, _, h in found], pa.list_(pa.int64()))
+        keys = pa.array([k for _, _, k in found], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nodes, fps, keys, batch.column(1)], ["doc_id", "raw", "node", "fp", "keys", "text"])
 
     given = id_and_text(docs, id_col, text_col).withColumn("raw", F.xxhash64("text"))
@@ -107,6 +108,7 @@ def _verified(words: int, least: float):
 
     def run(batches):
         last, nodes, sets = None, [], []
+        kept("simhash")
 
         def flush() -> pa.RecordBatch:
             pairs = similar_links(sets, least) if len(sets) > 1 else []
@@ -120,6 +122,8 @@ def _verified(words: int, least: float):
                 nodes.append(node)
                 sets.append(shingles(text, words)[2])
         yield flush()
+        nodes, sets = [], []
+        give_back()
 
     return run
 

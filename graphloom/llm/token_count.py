@@ -7,7 +7,6 @@ No identifiers are produced.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -16,7 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import MemoTable, id_and_text, map_batches
+from .common import MemoTable, id_and_text, kept, map_batches
 
 #: Fixed value: the split pattern of the byte-level vocabulary.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -110,9 +109,8 @@ class MergeCounter:
         return len(found) + sum(map(self.plain, self.special.split(text)))
 
 
-@functools.lru_cache(maxsize=2)
 def counter(path: str) -> MergeCounter:
-    return MergeCounter(path)
+    return kept("tokens", path, lambda: MergeCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
