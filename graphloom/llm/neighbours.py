@@ -266,7 +266,7 @@ def nearest(vectors: DataFrame, queries, k: int = 10, tables: int = TABLES, hash
         more = more.select("id", "x", "key", F.pmod(F.xxhash64("key", F.col("way").cast("long")), F.lit(shards)).cast("int").alias("shard"))
         more = more.groupBy("shard", "id", "x").agg(F.collect_set("key").alias("keys")).select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("key"), "id", "keys", "x")
         asked = asked.union(more)
-    met = index_rows.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "key")
+    met = index_rows.union(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "key")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
 
     def ranked(found):
@@ -297,6 +297,6 @@ def nearest(vectors: DataFrame, queries, k: int = 10, tables: int = TABLES, hash
 
     everyone = indexed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(ways)).cast("int"))
     asking = short.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(ways - 1))))
-    met = everyone.mapInArrow(plain(1), KIND).union(asking.mapInArrow(plain(0), KIND)).repartition(ways, "shard").sortWithinPartitions("shard", "kind", "key")
+    met = everyone.mapInArrow(plain(1), KIND).union(asking.mapInArrow(plain(0), KIND)).repartitionById(ways, "shard").sortWithinPartitions("shard", "kind", "key")
     exact = ranked(met.mapInArrow(_ranker(k), pairs))
     return found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").select(*found.columns).unionByName(exact)
