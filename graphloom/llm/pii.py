@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .arrays import find as find_in
 from .arrays import hashes
-from .common import give_back, row_schema, row_struct, scratch, stored, sub_batches
+from .common import give_back, row_schema, row_struct, stored, sub_batches
 from .common import kept as kept_for
 
 KINDS = ("email", "ip", "card", "phone")
@@ -187,23 +187,23 @@ def revealing(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) ->
 
     Pairs need ``support`` different texts (one: a term that stands in no other text tells which text it is, and so the entity); the share of information is ``PMI / IC`` over all rows:
     ``log2(c D / (n(e) n(t))) / log2(D / n(e))``.
+
+    A term that stands near entities in more texts than the share allows it over all of them cannot reveal any, and is not counted.
     """
-    found = contexts(docs)
-    pairs = found.groupBy("entity", "term", "text_key").agg(F.count("*").alias("rows"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("rows").alias("c"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    path = scratch(docs.sparkSession, "pii-pairs")
-    pairs.write.parquet(path)
-    pairs = docs.sparkSession.read.parquet(path)
+    found = contexts(docs).groupBy("entity", "term", "text_key").agg(F.count("*").alias("rows"))
+    found = stored(found, "pii-contexts")
+    pairs = found.groupBy("entity", "term").agg(F.sum("rows").alias("c"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     with_term, alone = pairs.where("term <> ''"), pairs.where("term = ''").select("entity", F.col("c").alias("ne"))
-    if with_term.isEmpty():
-        return with_term.select("entity", "term", F.lit(0.0).alias("share"))
     rows = docs.count()
-    both = with_term.join(alone, "entity").join(term_rows(docs, with_term), "term")
     if rows < 2:
-        return both.where("false").select("entity", "term", F.lit(0.0).alias("share"))
+        return with_term.where("false").select("entity", "term", F.lit(0.0).alias("share"))
     d = F.lit(math.log2(rows))
+    near = found.where("term <> ''").select("term", "text_key").distinct().groupBy("term").agg(F.count("*").alias("near"))
+    most = F.log2("c") + (1 - share) * (d - F.log2("ne"))
+    likely = with_term.join(alone, "entity").join(near, "term").where((F.col("ne") < rows) & (F.log2("near") <= most + 1e-9))
+    likely = stored(likely.select("entity", "term", "c", "ne"), "pii-pairs")
     told = (F.log2("c") + d - F.log2("ne") - F.log2("n")) / (d - F.log2("ne"))
-    return both.where(F.col("ne") < rows).select("entity", "term", told.alias("share")).where(F.col("share") >= share)
+    return likely.join(term_rows(docs, likely), "term").select("entity", "term", told.alias("share")).where(F.col("share") >= share)
 
 
 def find(docs: DataFrame, clean: bool = False, carry: bool = False, support: int = SUPPORT, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
