@@ -54,26 +54,33 @@ def typescript_candidates(file: Column, module: Column) -> Column:
 
 
 def first_existing(imports: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """The first of each row's ``candidates`` that is a file: ``keys``, ``target``.  Rows without one are left out."""
+    """The first of each row's ``candidates`` that is a ``path`` of ``files``: ``keys`` and that path's ``target``.  Rows without one are left out.
+
+    The join is merged, never broadcast: Spark estimates exploded rows and composed paths by the small columns that they come from.
+    """
     each = imports.select(*keys, F.posexplode("candidates").alias("rank", "path"))
-    return each.join(files.select("path"), "path").groupBy(*keys).agg(F.min_by("path", "rank").alias("target"))
+    return each.join(files.select("path", "target").hint("merge"), "path").groupBy(*keys).agg(F.min_by("target", "rank").alias("target"))
+
+
+def stem_key(stem: Column) -> Column:
+    """What stands for a stem among paths, none of which holds a NUL."""
+    return F.concat(F.lit("\0"), F.lower(stem))
 
 
-def by_stem(imports: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
-    """Fallback: the first file whose lower-case name without extension is the module's last part."""
-    stem = F.lower(F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", ""))
-    stems = files.groupBy(stem.alias("stem")).agg(F.min("path").alias("target"))
-    last = F.lower(F.regexp_extract("module", r"([^./]+)$", 1))
-    return imports.withColumn("stem", last).join(stems, "stem").select(*keys, "target")
+def by_stem(files: DataFrame) -> DataFrame:
+    """``path, target``: the key of each lower-case name without extension, and the first file of that name."""
+    stem = F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", "")
+    return files.groupBy(stem_key(stem).alias("key")).agg(F.min("path").alias("target")).select(F.col("key").alias("path"), "target")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, stem_fallback: bool = False) -> DataFrame:
-    """``id, file, target`` of ``id, file, module, candidates``; the fallback serves rows without a candidate."""
-    found = first_existing(imports, files, ["id", "file"])
-    if not stem_fallback:
-        return found
-    rest = imports.join(found.select("id"), "id", "left_anti")
-    return found.unionByName(by_stem(rest, files, ["id", "file"]))
+    """``id, file, target`` of ``id, file, module, candidates``; the fallback serves rows without a candidate, by the module's last part as one more."""
+    targets = files.select("path", F.col("path").alias("target"))
+    if stem_fallback:
+        last = stem_key(F.regexp_extract("module", r"([^./]+)$", 1))
+        imports = imports.withColumn("candidates", F.concat(F.coalesce("candidates", F.array().cast("array<string>")), F.array(last)))
+        targets = targets.unionByName(by_stem(files))
+    return first_existing(imports, targets, ["id", "file"])
 
 
 def named_definitions(imports: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -93,3 +93,20 @@ def test_long_taint_flows(spark):
     found = T.propagate(T.tag(nodes), edges)
     assert [(r["source"], r["sink"], r["path"]) for r in found.collect()] == [(0, n - 1, list(range(n)))]
     assert {tuple(r) for r in T.flow_edges(found).collect()} == {(i, i + 1, i + 1) for i in range(n - 1)}
+
+
+@pytest.mark.parametrize("name", ["jn14_stem_fallback", "jn13_candidates"])
+def test_imports_are_not_broadcast(spark, small, name):
+    """Exploded candidates and composed paths are far larger than their columns, by which Spark would broadcast them at 60 times sf0.1."""
+    df = QUERIES[name](spark, small)
+    assert df.count() and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stem_fallback_comes_last(spark):
+    from graphloom.passes import resolve as R
+
+    files = spark.createDataFrame([("a/x.py",), ("b/X.ts",), ("b/y.py",), ("b/y.py",)], "path string")
+    imports = spark.createDataFrame([(1, "f", "p.x", ["no.py", "b/y.py", "a/x.py"]), (2, "f", "p.X", ["no.py"]), (3, "g", "q/y", []), (4, "g", "Y", None), (5, "g", "none", ["no.py"]), (6, "g", None, ["b/X.ts"]), (7, "g", None, None)], "id int, file string, module string, candidates array<string>")
+    found = lambda fallback: sorted(tuple(r) for r in R.resolve_imports(imports, files, fallback).select("id", "file", "target").collect())
+    assert found(False) == [(1, "f", "b/y.py"), (6, "g", "b/X.ts")]
+    assert found(True) == [(1, "f", "b/y.py"), (2, "f", "a/x.py"), (3, "g", "b/y.py"), (4, "g", "b/y.py"), (6, "g", "b/X.ts")]
